@@ -33,8 +33,9 @@ REACH = 256  # words looked at on either side of a hit; longer overlaps are foun
 
 
 def _words(text: Column) -> Column:
+    """The text's words as 64-bit hashes, on which all that follows works."""
     body = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
-    return F.split(body, " ")
+    return F.transform(F.split(body, " "), lambda w: F.xxhash64(w))
 
 
 def _positions(df: DataFrame, *keep: str) -> DataFrame:
