@@ -76,6 +76,11 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, most: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the first ``n`` bytes of each span, or of all of it if it has no more, for each ``n`` of ``most``."""
+    return [hashes(data, starts, np.minimum(ends, starts + n), table) for n in most]
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, collapse: bool = False) -> np.ndarray:
     """A hash of the bytes of each span under ``table``; with ``collapse``, of its bytes without those that repeat the one before."""
     out = np.empty(len(starts), np.uint64)
