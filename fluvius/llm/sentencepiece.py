@@ -2,8 +2,8 @@
 
 The pieces and scores of a model file are taken as they are (nothing is trained), and a text's segmentation is the one
 whose pieces have the greatest sum of scores; of equal sums the one whose last piece is shorter, at each end. No piece
-crosses from a word into the space that follows, so words (a run of spaces and what follows it) are solved apart, each
-distinct word once per batch. Equal-length words are rows of one matrix and advance together: the hash of every substring
+crosses from a word into the space that follows, nor any two neighbouring bytes that stand together in no piece: the text is
+cut there, the parts (words, for short) are solved apart, each distinct one once as long as it is remembered. Equal-length words are rows of one matrix and advance together: the hash of every substring
 comes from prefix hashes, is looked up among the sorted piece hashes, and a vectorised maximum over the piece lengths
 stores score and back-pointer. Characters in no piece become their UTF-8 bytes' pieces, at a score below all others.
 
@@ -16,7 +16,6 @@ columns are ignored; texts are worked off in bounded slices, a longer text in on
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ from fluvius.llm.simhash import texts_of
 
 _BASE = 0x100000001B3
 _ROWS = 1 << 17  # cells of a matrix of words solved at once
-_CACHE = 200_000  # distinct words kept between batches
+_CACHE = 300_000  # distinct words kept between batches
 
 
 class Pieces:
@@ -48,12 +47,19 @@ class Pieces:
             self.bytes[i] = t.encode()
         for value, i in enumerate(byte_ids):
             self.bytes[i] = bytes([value])
+        self.joint = np.zeros((256, 256), bool)  # bytes that stand together in a piece; those within a character always do
+        self.joint[:, 128:192] = True
+        for i in normal:
+            raw = np.frombuffer(self.bytes[i], np.uint8)
+            self.joint[raw[:-1], raw[1:]] = True
         keys = np.array([self._hash(t) for t in texts.values()], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(list(texts), np.int32)[order]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces have one hash")
         self.scores = np.array([scores[i] for i in texts], np.float64)[order]
+        self.bucket = np.searchsorted(self.keys, np.arange((1 << 18) + 1, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+        self.bucket[-1] = len(self.keys)
         self.unknown = float(self.scores[self.scores > -1e8].min(initial=0)) - 10
         self.byte_ids = np.array(byte_ids, np.int32)
 
@@ -73,20 +79,39 @@ class Pieces:
         normal = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         return cls([model.id_to_piece(i) for i in range(n)], [model.get_score(i) for i in range(n)], byte_ids, normal)
 
-    def solve(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for n in np.unique(lengths).tolist():
-            at = np.flatnonzero(lengths == n)
-            step = max(1, _ROWS // max(n, 1))
-            for part in range(0, len(at) if n else 0, step):
-                rows = at[part : part + step]
-                for i, ids in zip(rows.tolist(), self._viterbi([words[i] for i in rows], n), strict=True):
-                    out[i] = ids
-        return out
-
-    def _viterbi(self, words: list[str], n: int) -> list[np.ndarray]:
+    def solve(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, flat, and each word's number of ids."""
+        texts = [w.decode("utf-8", "surrogateescape") for w in words]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        order, flat, count = np.argsort(lengths, kind="stable"), [], []
+        at = 0
+        while at < len(order):
+            n = int(lengths[order[at]])
+            to = min(int(np.searchsorted(lengths[order], n, side="right")), at + max(1, _ROWS // max(n, 1)))
+            ids, m = self._viterbi([texts[i] for i in order[at:to].tolist()], n)
+            flat.append(ids)
+            count.append(m)
+            at = to
+        flat, sizes = np.concatenate([np.empty(0, np.int32), *flat]), np.concatenate([np.empty(0, np.int64), *count])
+        starts, numbers = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[order], numbers[order] = np.cumsum(sizes) - sizes, sizes
+        return K.gather(flat, starts, numbers), numbers
+
+    def _probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where hashes are keys, and at which place of the sorted keys."""
+        top = (h >> np.uint64(46)).astype(np.int32)
+        at = self.bucket[top]
+        some = np.flatnonzero(self.bucket[top + 1] > at)
+        found = np.searchsorted(self.keys, h[some])
+        found[found == len(self.keys)] = 0
+        same = self.keys[found] == h[some]
+        hit = np.zeros(len(h), bool)
+        hit[some[same]] = True
+        at[some] = found
+        at[~hit] = 0
+        return hit, at
+
+    def _viterbi(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
         m = len(words)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
         prefix = np.zeros((n + 1, m), np.uint64)
@@ -100,9 +125,7 @@ class Pieces:
             k = np.arange(1, min(e, self.longest) + 1)
             h = prefix[e] - prefix[e - k] * self.power[k][:, None]
             h = K.mix(h + (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None])
-            at = np.searchsorted(self.keys, h.ravel()).reshape(h.shape)
-            at[at == len(self.keys)] = 0
-            hit = self.keys[at] == h
+            hit, at = (x.reshape(h.shape) for x in self._probe(h.ravel()))
             total = np.where(hit, best[e - k] + self.scores[at], -np.inf)
             alone = ~hit[0]
             total[0, alone] = best[e - 1, alone] + self.unknown
@@ -118,33 +141,43 @@ class Pieces:
             marks[live, end[live]] = piece[end[live], live]
             end[live] -= back[end[live], live]
         found, odd = marks[:, 1:], (marks == -1).any(axis=1)
+        number = (found != -2).sum(axis=1)
         flat = found[found != -2]
-        out = np.split(flat, np.cumsum((found != -2).sum(axis=1))[:-1])
-        for i in np.flatnonzero(odd).tolist():
-            out[i] = np.concatenate([[x] if x >= 0 else self.byte_ids[list(c.encode("utf-8", "surrogateescape"))] for x, c in zip(found[i].tolist(), words[i], strict=True) if x != -2]).astype(np.int32)
-        return out
+        if odd.any():  # characters in no piece: their bytes take their places
+            row, col = np.nonzero(found != -2)
+            extra = [(i, self.byte_ids[list(words[row[i]][col[i]].encode("utf-8", "surrogateescape"))]) for i in np.flatnonzero(flat == -1).tolist()]
+            size = np.ones(len(flat), np.int64)
+            size[[i for i, _ in extra]] = [len(b) for _, b in extra]
+            begin = np.cumsum(size) - size
+            flat = np.repeat(flat, size)
+            for i, b in extra:
+                flat[begin[i] : begin[i] + len(b)] = b
+            number = np.bincount(row, weights=size, minlength=m).astype(np.int64)
+        return flat, number
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
 
 
-_WORD = re.compile(" +[^ ]*")
-
-
 def encoder(pieces: Pieces):
-    """A function from texts (UTF-8 bytes) to their ids, which keeps solved words between calls."""
-    place: dict[str, int] = {}
-    known: list[np.ndarray] = []
-
-    def encode(texts: list[bytes]) -> list[np.ndarray]:
-        nonlocal place, known
-        if len(known) > _CACHE:
-            place, known = {}, []
-        cut = [_WORD.findall(" " + t.decode("utf-8", "surrogateescape")) if t else [] for t in texts]
-        fresh = list(dict.fromkeys(w for words in cut for w in words if w not in place))
-        place.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-        known += pieces.solve(fresh)
-        return [np.concatenate([known[place[w]] for w in words]) if words else np.empty(0, np.int32) for words in cut]
+    """A function from a text column to the flat ids of its texts and each text's number of ids; it remembers words."""
+    store = K.Store(_CACHE)
+
+    def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = K.buffers(column)
+        some = np.flatnonzero(np.diff(offsets))  # a space is put before each text that is not empty
+        data = np.insert(data, offsets[some], 32)
+        offsets = offsets + np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])
+        if not len(data):
+            return np.empty(0, np.int32), np.zeros(len(column), np.int64)
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = ~pieces.joint[data[:-1], data[1:]]
+        cut[offsets] = True
+        at = np.flatnonzero(cut)
+        s, e = at[:-1], at[1:]
+        ids, n = store.ids(K.hashes(data, s, e, K.BYTE_TABLE), data, s, e, pieces.solve)
+        doc = np.searchsorted(offsets, s, side="right") - 1
+        return ids, np.bincount(doc, weights=n, minlength=len(column)).astype(np.int64)
 
     return encode
 
@@ -164,11 +197,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(sent.value)
         for b in K.slices(batches):
-            texts = list(texts_of(b.column(1)))
-            ids = to_ids(texts)
-            cols = [b.column(0), pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32), np.concatenate([np.empty(0, np.int32), *ids])), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
+            flat, n = to_ids(b.column(1))
+            ends = np.cumsum(n)
+            ids = [flat[s:e] for s, e in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+            cols = [b.column(0), pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), flat), pa.array(n), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
             if checked:
-                cols.append(pa.array([sent.value.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]))
+                cols.append(pa.array([sent.value.decode(x.tolist()) == t for x, t in zip(ids, texts_of(b.column(1)), strict=True)]))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_tokens", "ids_crc32", "exact"][: len(cols)])
 
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, ids_crc32 long" + ", exact boolean" * checked)

@@ -33,7 +33,7 @@ def _table(classes: np.ndarray) -> np.ndarray:
 
 
 _RNG_TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-LOWER_TABLE, SHAPE_TABLE = _table(LOWER), _table(SHAPE)
+LOWER_TABLE, SHAPE_TABLE, BYTE_TABLE = _table(LOWER), _table(SHAPE), _RNG_TABLE
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -113,3 +113,44 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE * 2) -> Iterator
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
             yield b.slice(at, to - at)
             at = to
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The concatenation of ``flat[s : s + n]`` for each start and length."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
+class Store:
+    """Ids of words by the words' hashes, kept between batches and started anew beyond ``most`` words."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.starts, self.lengths, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def ids(self, word: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray, solve) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the words with these hashes and spans, and each word's number of ids. ``solve`` takes the bytes of new
+        words and returns their flat ids and numbers."""
+        distinct, first, back = np.unique(word, return_index=True, return_inverse=True)
+        if len(self.keys) > self.most:
+            self._clear()
+        at = np.searchsorted(self.keys, distinct)
+        fresh = np.ones(len(distinct), bool)
+        inside = at < len(self.keys)
+        fresh[inside] = self.keys[at[inside]] != distinct[inside]
+        if fresh.any():
+            pick = first[fresh]
+            raw = data.tobytes()
+            ids, n = solve([raw[a:b] for a, b in zip(s[pick].tolist(), e[pick].tolist(), strict=True)])
+            starts = len(self.flat) + np.cumsum(n) - n
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+            keys = np.concatenate([self.keys, distinct[fresh]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.starts, self.lengths = keys[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.lengths, n])[order]
+            at = np.searchsorted(self.keys, distinct)
+        of = at[back]
+        return gather(self.flat, self.starts[of], self.lengths[of]), self.lengths[of]
