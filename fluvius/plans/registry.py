@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from fluvius.plans import rasters
+from fluvius.plans.rasters import flagship
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
+
+QUERIES: dict = {**rasters.QUERIES}
+ORACLE: dict[str, str] = {**rasters.ORACLE}
