@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fluvius.plans import rasters, vectors
+from fluvius.plans import networks, rasters, vectors
 from fluvius.plans.rasters import flagship
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
 
-QUERIES: dict = {**rasters.QUERIES, **vectors.QUERIES}
-ORACLE: dict[str, str] = {**rasters.ORACLE, **vectors.ORACLE}
+QUERIES: dict = {**rasters.QUERIES, **vectors.QUERIES, **networks.QUERIES}
+ORACLE: dict[str, str] = {**rasters.ORACLE, **vectors.ORACLE, **networks.ORACLE}

@@ -176,9 +176,9 @@ h as (select *, x1 + (x2 - x1) * t cx, y1 + (y2 - y1) * t cy, pos + len * t d0 f
 tot as (select line, max(pos + len) total from meas group by line), pr as (select k.line, k.seq, side, d0, cx, cy, dir, greatest(0, least(total, d0 + dir * 3)) d from k join tot using (line), (select unnest([-1, 1]) dir)),
 pt as (select pr.*, m.x1 + (m.x2 - m.x1) * case when m.len > 0 then (d - m.pos) / m.len else 0 end px, m.y1 + (m.y2 - m.y1) * case when m.len > 0 then (d - m.pos) / m.len else 0 end py, row_number() over (partition by pr.line, pr.seq, side, d0, dir order by m.seq) rn from pr join meas m on m.line = pr.line and d >= m.pos and d <= m.pos + m.len),
 b as (select line, seq, side, d0, cx, cy, max(case when dir = 1 then px > {BOX[0]} and px < {BOX[2]} and py > {BOX[1]} and py < {BOX[3]} end) af, max(case when dir = -1 then px > {BOX[0]} and px < {BOX[2]} and py > {BOX[1]} and py < {BOX[3]} end) be from pt where rn = 1 group by all)
-select line, cast(seq as int) seq, ['W', 'E', 'S', 'N'][side + 1] edge, round(d0, 10) d, round(cx, 10) x, round(cy, 10) y, case when af then 'in' else 'out' end flow from b where af <> be""")
+select line, cast(seq as int) seq, ['W', 'E', 'S', 'N'][side + 1] edge, round(d0 + 1e-8::double, 6) d, round(cx + 1e-8::double, 6) x, round(cy + 1e-8::double, 6) y, case when af then 'in' else 'out' end flow from b where af <> be""")
 def crossings(spark: SparkSession, d: str) -> DataFrame:
-    return V.crossings(segments(vertices(spark, d)), BOX, 3.0).select("line", "seq", "edge", _r("d", 10), _r("x", 10), _r("y", 10), "flow")
+    return V.crossings(segments(vertices(spark, d)), BOX, 3.0).select("line", "seq", "edge", "flow", *[F.round(F.col(c) + 1e-8, 6).alias(c) for c in ("d", "x", "y")])
 
 
 @query(f"with {VERT}, n as (select line, x, y, coalesce(lead(x) over w, first_value(x) over w) nx, coalesce(lead(y) over w, first_value(y) over w) ny from vert window w as (partition by line order by seq)) select line, sum(x * ny - nx * y) / 2 area from n group by line")
