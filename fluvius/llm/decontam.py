@@ -29,7 +29,7 @@ MASKS = ("11101011", "11011101", "10110111")
 SPAN = 8
 MIN_WORDS, MIN_SHARE = 13, 0.8
 BLOCK_SEEDS = 1_000_000  # about 32 MB of broadcast rows
-REACH = 256  # words looked at on either side of a hit; longer overlaps are found again further on
+REACH = 64  # words compared on either side of a hit
 
 
 def _words(text: Column) -> Column:
@@ -59,8 +59,10 @@ def _probe(docs: DataFrame, items: DataFrame) -> DataFrame:
     first = hits.where(~again)
     back = F.least(i, j, F.lit(REACH))
     width = F.least(back + REACH, F.size("words") - i + back, F.size("item") - j + back)
-    first = first.withColumn("at", i - back).withColumn("from", j - back)
-    pair = F.zip_with(F.slice("words", F.col("at") + 1, width), F.slice("item", F.col("from") + 1, width), lambda a, b: a == b)
+    # only the words compared leave the probe: a generator keeps this apart from the projection that follows
+    cut = F.struct((i - back).alias("at"), F.slice("words", i - back + 1, width).alias("a"), F.slice("item", j - back + 1, width).alias("b"))
+    first = first.select("doc_id", "item_id", F.size("item").alias("item_words"), F.inline(F.array(cut)))
+    pair = F.zip_with("a", "b", lambda x, y: x == y)
 
     def step(a: Column, same: Column) -> Column:
         fresh = a["run"] <= 0
@@ -74,7 +76,7 @@ def _probe(docs: DataFrame, items: DataFrame) -> DataFrame:
         )
 
     zero = F.struct(*[F.lit(0).alias(x) for x in ("k", "run", "begin", "right", "best", "b", "e", "same")])
-    seg = first.select("doc_id", "item_id", "at", F.size("item").alias("item_words"), F.aggregate(pair, zero, step).alias("s"))
+    seg = first.select("doc_id", "item_id", "at", "item_words", F.aggregate(pair, zero, step).alias("s"))
     n = F.col("s.e") - F.col("s.b")
     return seg.where((n >= F.least(F.lit(MIN_WORDS), F.col("item_words"))) & (F.col("s.same") >= MIN_SHARE * n)).select(
         "doc_id", "item_id", "item_words", (F.col("at") + F.col("s.b")).alias("start_word"), n.alias("n_words"), F.col("s.same").alias("n_same"))

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by batched Viterbi in numpy.
 
-The pieces and scores of a model file are taken as they are (nothing is trained), and a text's segmentation is the one
-whose pieces have the greatest sum of scores; of equal sums the one whose last piece is shorter, at each end. No piece
+The pieces of a model file are taken as they are (nothing is trained), and a text's segmentation is the one whose pieces have
+the greatest sum of scores. A unigram file's scores are used as they stand. A file of merges has ranks instead: there the
+piece of rank r gets the log probability that Zipf's law gives it, -log((r + 1) H). Of equal sums the one whose last piece is shorter, at each end. No piece
 crosses from a word into the space that follows, nor any two neighbouring bytes that stand together in no piece: the text is
 cut there, the parts (words, for short) are solved apart, each distinct one once as long as it is remembered. Equal-length words are rows of one matrix and advance together: the hash of every substring
 comes from prefix hashes, is looked up among the sorted piece hashes, and a vectorised maximum over the piece lengths
@@ -77,7 +78,12 @@ class Pieces:
         n = model.vocab_size()
         byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         normal = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        return cls([model.id_to_piece(i) for i in range(n)], [model.get_score(i) for i in range(n)], byte_ids, normal)
+        scores = [model.get_score(i) for i in range(n)]
+        ranks = sorted(-scores[i] for i in normal if scores[i] > -1e8)
+        if all(r == int(r) for r in ranks) and len(set(ranks)) == len(ranks):  # a file of merges
+            total = float(sum(1 / (r + 1) for r in ranks))
+            scores = [-float(np.log((1 - x) * total)) if -1e8 < x <= 0 else x for x in scores]
+        return cls([model.id_to_piece(i) for i in range(n)], scores, byte_ids, normal)
 
     def solve(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words, flat, and each word's number of ids."""

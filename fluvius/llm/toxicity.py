@@ -51,6 +51,7 @@ def _hash(words: list[str]) -> np.ndarray:
 
 
 GROUPS = [_hash(line.split()) for line in IDENTITY]
+_ALL = np.concatenate(GROUPS)
 
 
 def _bucket(word: np.ndarray) -> np.ndarray:
@@ -69,11 +70,18 @@ def terms_of(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.nda
     s, e, doc = K.spans(data, offsets, K.WORD)
     keys = []
     for n in (None, *HEADS):
-        long = slice(None) if n is None else np.flatnonzero(e - s > n)
-        at = s[long]
-        b = _bucket(K.hashes(data, at, e[long] if n is None else at + n, K.LOWER_TABLE))
-        key = doc[long] * BUCKETS + b
-        keys.append(key if wanted is None else key[wanted[b]])
+        if n is None:
+            word = K.hashes(data, s, e, K.LOWER_TABLE)
+            long, b = np.arange(len(s)), _bucket(word)
+        else:
+            long = np.flatnonzero(e - s > n)
+            b = _bucket(K.hashes(data, s[long], s[long] + n, K.LOWER_TABLE))
+        if wanted is not None:
+            long, b = long[wanted[b]], b[wanted[b]]
+        if n is not None:  # identity terms count as wholes only, so that a swap moves one weight
+            other = ~np.isin(word[long], _ALL)
+            long, b = long[other], b[other]
+        keys.append(doc[long] * BUCKETS + b)
     key, count = np.unique(np.concatenate(keys), return_counts=True)
     return key // BUCKETS, key % BUCKETS, np.log2(1 + count).astype(np.float32)
 
