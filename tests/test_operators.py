@@ -139,3 +139,9 @@ def test_unknown_kind_is_an_error(spark):
     df = spark.createDataFrame([(1, 1, "water.none", 0, 0, "x")], "id int, doc int, kind string, r int, c int, label string")
     with pytest.raises(Exception, match="unknown kind"):
         placements.numbered(df).collect()
+
+
+def test_components_of_a_chain_a_star_and_nothing(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (None, 3)], "src int, dst int")
+    assert {r.node: r.component for r in graph.components(edges).collect()} == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 120)}
+    assert graph.components(edges.where("src > 1000")).count() == 0
