@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvius.operators import graph, history
+from fluvius.operators import graph, history, proposal
 from fluvius.operators import placements as P
-from fluvius.plans.fixtures import VERT, table, vertices
+from fluvius.plans.fixtures import VERT, raster, table, vertices
 from fluvius.plans.rasters import _r
 
 QUERIES, ORACLE = {}, {}
@@ -93,6 +93,22 @@ def stream_reach_clusters(spark: SparkSession, d: str) -> DataFrame:
     return P.reach_clusters(_points(spark, d).select("id", "x", "y", "ord", "area", "level"), 60.0).select("id", _r("level"), "others")
 
 
+@query()
+def water_proposal(spark: SparkSession, d: str) -> DataFrame:
+    """All placements of a map made of the given tables: customers and suppliers as rivers, nations as lakes and seas, events as pixels."""
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    lines = table(spark, d, "customer").select(k.alias("line"), (k % 500).alias("path"), (k % 8).cast("int").alias("ord"), F.when(k % 4 != 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("drainage"), k.alias("hydroseq"), (k % 2).alias("startflag"), (k % 3).alias("flowdir"), (k % 11 == 0).alias("culvert"))
+    x, y = (k * 37 % 12_000 - 1000).cast("double"), (k * 53 % 12_000 - 1000).cast("double")
+    segments = table(spark, d, "customer").select(k.alias("line"), F.lit(1).alias("seq"), x.alias("x1"), y.alias("y1"), (x + k % 900 - 450).alias("x2"), (y + k % 700 - 350).alias("y2"))
+    polygons = table(spark, d, "nation").select(n.alias("poly"), F.when(n % 3 == 0, 445).otherwise(390).alias("ftype"), F.col("n_name").alias("name"), (n % 3 != 0).alias("body"))
+    at = lambda i, j: ((n % 5 * 2100 + i * 1000 + 200).cast("double"), (F.floor(n / 5) * 2100 + j * 1000 + 200).cast("double"))
+    corners = [at(0, 0), at(1, 0), at(1, 1), at(0, 1)]
+    sides = [F.struct(*[v.alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), (*corners[i], *corners[(i + 1) % 4]), strict=True)]) for i in range(4)]
+    edges = table(spark, d, "nation").select(n.alias("poly"), F.inline(F.array(*sides)))
+    pixels = raster(spark, d).select("r", "c", "z", F.when(F.col("kind") == "view", F.col("z")).alias("surface"), (F.col("kind") == "view").alias("water"))
+    return proposal.propose(lines, segments, polygons, edges, pixels, proposal.Border((0, 0, 10_000, 10_000), 100.0, 100)).select("kind", "key", "c", "r", "level", "label")
+
+
 _KIND = "['water.border_river_in', 'water.border_river_out', 'water.stream', 'water.lake', 'water.border_sea']"
 _PLACED = f"placed as (select c_custkey id, c_nationkey doc, {_KIND}[c_custkey % 5 + 1] kind, cast(c_custkey * 37 % 4096 as int) r, cast(c_custkey * 53 % 4096 as int) c, c_name label from customer)"
 

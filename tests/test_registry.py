@@ -43,6 +43,6 @@ def test_flagship(spark):
     assert len(rows) == 10 and sum(r.n for r in rows) > 0
 
 
-@pytest.mark.parametrize("name", ["crossing_dedupe", "crossing_clusters"])
+@pytest.mark.parametrize("name", ["crossing_dedupe", "crossing_clusters", "water_proposal"])
 def test_kernels_run(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
