@@ -201,6 +201,32 @@ def test_passages(spark):
     assert all(r.doc_id < 100 and r.start_word < 91 and r.end_word > 29 for r in got)
 
 
+def test_passages_find_every_part_of_a_chain(spark):
+    """Header and footer with other words between, and near copies with a changed block in the middle."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    head, foot = fresh(60), fresh(60)
+    rows = [(1, head + fresh(100) + foot), (2, fresh(20) + head + fresh(100) + foot), (3, head + fresh(90) + foot), (4, head + fresh(130) + foot)]
+    got = passages.pairs(spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")).collect()
+    want = {(2, 20, 80, 1, 0, 60), (2, 180, 240, 1, 160, 220), (3, 0, 60, 1, 0, 60), (3, 150, 210, 1, 160, 220), (4, 0, 60, 1, 0, 60), (4, 190, 250, 1, 160, 220)}
+    assert {tuple(r)[:6] for r in got} == want
+
+
+def test_segments_are_maximal():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        eq = rng.random(int(rng.integers(1, 40))) < 0.75
+        total = np.r_[0, np.cumsum(np.where(eq, 1, -3))]
+
+        def brute(s, e):  # the best one, and so on at both sides
+            gain, i, j = max(((total[v] - total[u], -u, -v) for u in range(s, e) for v in range(u + 1, e + 1)), default=(0, 0, 0))
+            return [] if gain <= 0 else [*brute(s, -i), (-i, -j), *brute(-j, e)]
+
+        got = passages.segments(eq, 3)
+        assert sum(total[v] - total[u] for u, v in got) >= 0 and max((total[v] - total[u] for u, v in got), default=0) == max((total[v] - total[u] for u, v in brute(0, len(eq))), default=0)
+        assert got == brute(0, len(eq))
+
+
 def test_passages_find_all_long_runs(docs, texts):
     runs = {}
     for d, t in texts.items():
