@@ -10,7 +10,8 @@ compressed sizes of blocks, ones before each block, the documents' lengths), the
 
 Writing: documents are range-partitioned by id into shards; a task encodes its shard and writes one file under the shared
 folder, under a temporary name that is renamed when complete, so a task that runs again does no harm. Encoding cuts a text
-where the tokenizer's own pre-tokenizer must cut, and gives each distinct part to the tokenizers library once.
+where the tokenizer's own pre-tokenizer must cut, and gives each distinct part to the tokenizers library once;
+texts that hold the string of an added token are given to it whole.
 
 Edge cases: null and empty texts are one end id; repeated ids keep all their rows, ordered by their texts' hashes; a null id comes
 first; an empty table gives no file and no rows; other columns are ignored.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,7 +214,7 @@ def tokenizer_ids(path: str):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True  # their strings in a text are ordinary text
+    special = [(t.content, t.normalized) for t in model.get_added_tokens_decoder().values()]
     store = K.Store(_CACHE)
 
     def solve(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,10 +223,21 @@ def tokenizer_ids(path: str):
         return np.fromiter((i for x in got for i in x), np.int32, int(n.sum())), n
 
     def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # the library looks for added tokens before it cuts a text into parts: texts that hold one are given to it whole
+        whole = np.zeros(len(column), bool)
+        for content, any_case in special:
+            whole |= pc.fill_null(pc.match_substring(column, content, ignore_case=any_case), False).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(whole)
+        more = solve([t.encode() for t in column.take(pa.array(rows)).to_pylist()]) if len(rows) else None
+        if more:
+            column = pc.if_else(pa.array(whole), pa.scalar(None, column.type), column)
         data, offsets = K.buffers(column)
         s, e, doc = parts(data, offsets)
         ids, n = store.ids(K.hashes(data, s, e, K.LOWER_TABLE), data, s, e, solve) if len(s) else (np.empty(0, np.int32), np.empty(0, np.int64))
         per = np.bincount(doc, weights=n, minlength=len(column)).astype(np.int64)
+        if more:
+            ids = np.insert(ids, np.repeat(np.cumsum(per)[rows], more[1]), more[0])
+            per[rows] = more[1]
         return np.insert(ids, np.cumsum(per), END), per + 1
 
     return encode

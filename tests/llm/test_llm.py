@@ -288,6 +288,17 @@ def test_wavelet_matrix():
 
 def test_nearest(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
+def test_special_tokens_in_texts():
+    path = queries.vocabulary(queries.WORD_VOCABULARY)
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    samples = ["plain text", "a <|endoftext|> b", None, "<|startoftext|>x<|endoftext|>", "", "A<|ENDOFTEXT|> b<|StartOfText|>c", "<|endoftext", "more"]
+    flat, n = tokenstore.tokenizer_ids(path)(pa.array(samples))
+    for text, ids in zip(samples, np.split(flat, np.cumsum(n)[:-1]), strict=True):
+        assert ids.tolist() == [*model.encode(text or "", add_special_tokens=False).ids, 1], text
+
+
     x = e.toPandas()
     v, ids = np.stack(x.embedding).astype(float), x.vec_id.to_numpy()
     got = ann.search(e, e.where("vec_id % 100 = 0")).toPandas()
