@@ -210,9 +210,25 @@ def nearest_distance(df: DataFrame, target: str, reach: int) -> DataFrame:
 
 
 def fill_nodata(df: DataFrame, reach: int) -> DataFrame:
-    """NULL pixels take the value of the nearest valid one within ``reach``; filled tells which."""
-    near = nearest_distance(df.withColumn("_v", F.col("z").isNotNull()), "_v", reach)
-    return near.select("r", "c", F.coalesce("z", "near_z").alias("z"), F.col("z").isNull().alias("filled"))
+    """NULL pixels take the value of the nearest valid one at any distance; filled tells which. ``reach`` is that of the first
+    search, which is doubled until every pixel has its nearest; a raster without a valid pixel is an error."""
+    from fluvius.session import write_table
+
+    void = F.col("z").isNull()
+    near = lambda w: F.max(void).over(_frame(w, 1))
+    beside = _along(_along(df.select("r", "c", "z"), "c", 1, lambda w: {"_h": near(w)}), "r", 1, lambda w: {"_n": near(w)})
+    # the nearest valid pixel of a NULL one has a NULL neighbour
+    part = write_table(beside.where(F.col("_h") | F.col("_n")).select("r", "c", "z", (~void).alias("_v")), "voids")
+    n = part.agg(F.count_if(void).alias("void"), F.count_if(~void).alias("valid")).first()
+    if n.void and not n.valid:
+        raise ValueError("the raster is entirely nodata")
+    if not n.void:
+        return df.select("r", "c", "z", F.lit(False).alias("filled"))
+    while True:  # within a square window only distances up to its half side are sure to be the least
+        found = write_table(nearest_distance(part, "_v", reach).where(void & (F.col("d2") <= reach * reach)).select("r", "c", "near_z"), "filled")
+        if found.count() == n.void:
+            return df.join(found, ["r", "c"], "left").select("r", "c", F.coalesce("z", "near_z").alias("z"), void.alias("filled"))
+        reach *= 2
 
 
 def taper(d2: Column, mpp: float, limit: float) -> Column:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from fluvius.operators import rings, water
+from fluvius.operators import grid, rings, water
 from fluvius.plans import resampled
 from fluvius.sources import geotiff
 
@@ -56,3 +56,20 @@ def test_water_layers(spark):
             assert depth == 0 and surface is None
         elif not polygon:
             assert 1.5 * 0.7 - 1e-6 <= depth <= 1.5 and surface == pytest.approx(raster[k], abs=2e-6)
+
+
+def test_fill_nodata_at_any_distance(spark):
+    rng = np.random.default_rng(2)
+    z = rng.random((60, 70))
+    z[3:58, 5:66] = np.nan
+    z[30, 20] = 5.0
+    schema = "r int, c int, z double"
+    rows = [(r, c, None if np.isnan(z[r, c]) else float(z[r, c])) for r in range(60) for c in range(70)]
+    valid = sorted((r, c) for r, c, v in rows if v is not None)
+    at = np.array(valid)
+    for x in grid.fill_nodata(spark.createDataFrame(rows, schema), 4).collect():
+        r, c = valid[int(np.argmin(((at - (x.r, x.c)) ** 2).sum(1)))]
+        assert x.z == z[r, c] and x.filled == np.isnan(z[x.r, x.c])
+    with pytest.raises(ValueError):
+        grid.fill_nodata(spark.createDataFrame([(0, 0, None), (0, 1, None)], schema), 4)
+    assert not grid.fill_nodata(spark.createDataFrame([(0, 0, 1.0)], schema), 4).first().filled
