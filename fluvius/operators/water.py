@@ -34,8 +34,9 @@ def layers(dem: DataFrame, polygons: DataFrame, lines: DataFrame, mpp: float) ->
 
     reach = int(BANK // mpp) + 1
     bank = _bank_distance(d, "polygon", reach).withColumnRenamed("px", "bank")
-    # a channel's profile is full at half its width, which is far below the polygons' reach
-    shore = _bank_distance(d, "mask", reach).withColumnRenamed("px", "shore")
+    # a channel's profile is full at half its width: nothing beyond the greatest is needed
+    half = n.agg(F.coalesce(F.ceil(F.max("half")), F.lit(1))).first()[0]
+    shore = _bank_distance(d, "mask", int(half) + 1).withColumnRenamed("px", "shore")
     smooth = masked_mean(d.select("r", "c", "z", F.col("polygon").alias("m")), max(3, round(SMOOTH / mpp) | 1))
     d = d.join(bank, ["r", "c"]).join(shore, ["r", "c"]).join(smooth, ["r", "c"])
 

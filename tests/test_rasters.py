@@ -58,6 +58,16 @@ def test_water_layers(spark):
             assert 1.5 * 0.7 - 1e-6 <= depth <= 1.5 and surface == pytest.approx(raster[k], abs=2e-6)
 
 
+def test_water_layers_of_a_wide_channel(spark):
+    """A channel of 23 pixels of 14 m: its half, 161 m, is beyond the polygons' reach."""
+    dem = spark.createDataFrame([(r, c, 9.0) for r in range(5) for c in range(41)], "r int, c int, z double")
+    lines = spark.createDataFrame([(r, c, 4.0, 11.5) for r in range(5) for c in range(9, 32)], "r int, c int, depth double, half double")
+    none = spark.createDataFrame([], "r int, c int, depth double")
+    got = {x.c: x.depth for x in water.layers(dem, none, lines, 14.0).where("r = 2").collect()}
+    for c in range(41):
+        assert got[c] == pytest.approx(4 * max(np.sqrt(min(min(c - 8, 32 - c) / 11.5, 1)), 0.7) if 9 <= c < 32 else 0)
+
+
 def test_fill_nodata_at_any_distance(spark):
     rng = np.random.default_rng(2)
     z = rng.random((60, 70))
