@@ -212,6 +212,21 @@ def test_passages_find_every_part_of_a_chain(spark):
     assert {tuple(r)[:6] for r in got} == want
 
 
+def test_passages_whose_phrases_occur_singly_before(spark):
+    rng = random.Random(9)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    shared = fresh(60)
+    rows = [(i, [*fresh(40), *shared[i : i + 5], *fresh(40)]) for i in range(56)]  # every phrase in a document of its own
+    rows += [(100, fresh(30) + shared + fresh(30)), (101, fresh(70) + shared + fresh(5))]
+    got = passages.pairs(spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(101, 70, 130, 100, 30, 90, 60, 60)]
+
+
+def test_passages_of_one_word_are_few(spark):
+    got = passages.pairs(spark.createDataFrame([(1, "the " * 300), (2, "a b c " + "the " * 300)], "doc_id long, text string")).collect()
+    assert set().union(*[range(r.start_word, r.end_word) for r in got]) >= set(range(12, 303)) and len(got) <= 10
+
+
 def test_segments_are_maximal():
     rng = np.random.default_rng(8)
     for _ in range(300):
@@ -273,6 +288,17 @@ def test_parts_keep_the_tokenizer_exact():
         assert ids.tolist() == [*model.encode(text, add_special_tokens=False).ids, 1], text
 
 
+def test_special_tokens_in_texts():
+    path = queries.vocabulary(queries.WORD_VOCABULARY)
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    samples = ["plain text", "a <|endoftext|> b", None, "<|startoftext|>x<|endoftext|>", "", "A<|ENDOFTEXT|> b<|StartOfText|>c", "<|endoftext", "more"]
+    flat, n = tokenstore.tokenizer_ids(path)(pa.array(samples))
+    for text, ids in zip(samples, np.split(flat, np.cumsum(n)[:-1]), strict=True):
+        assert ids.tolist() == [*model.encode(text or "", add_special_tokens=False).ids, 1], text
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(5)
     ids = rng.integers(0, 900, 150_000) ** 2 // 900
@@ -288,17 +314,6 @@ def test_wavelet_matrix():
 
 def test_nearest(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
-def test_special_tokens_in_texts():
-    path = queries.vocabulary(queries.WORD_VOCABULARY)
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    samples = ["plain text", "a <|endoftext|> b", None, "<|startoftext|>x<|endoftext|>", "", "A<|ENDOFTEXT|> b<|StartOfText|>c", "<|endoftext", "more"]
-    flat, n = tokenstore.tokenizer_ids(path)(pa.array(samples))
-    for text, ids in zip(samples, np.split(flat, np.cumsum(n)[:-1]), strict=True):
-        assert ids.tolist() == [*model.encode(text or "", add_special_tokens=False).ids, 1], text
-
-
     x = e.toPandas()
     v, ids = np.stack(x.embedding).astype(float), x.vec_id.to_numpy()
     got = ann.search(e, e.where("vec_id % 100 = 0")).toPandas()
