@@ -181,7 +181,7 @@ def encoder(pieces: Pieces):
         cut[offsets] = True
         at = np.flatnonzero(cut)
         s, e = at[:-1], at[1:]
-        ids, n = store.ids(K.hashes(data, s, e, K.BYTE_TABLE), data, s, e, pieces.solve)
+        ids, n = store.ids(K.hashes(data, s, e, K.BYTE_TABLE), data, s, e, lambda words, _: pieces.solve(words))
         doc = np.searchsorted(offsets, s, side="right") - 1
         return ids, np.bincount(doc, weights=n, minlength=len(column)).astype(np.int64)
 

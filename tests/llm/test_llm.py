@@ -275,6 +275,45 @@ def test_token_store(spark, docs, texts):
         at += len(ids)
 
 
+def test_token_store_of_many_shards(spark, docs, texts, monkeypatch):
+    """Repeated and null ids that fall into several shards: the same order in two runs, and that of (id, text's hash)."""
+    path = queries.vocabulary(queries.WORD_VOCABULARY)
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenstore, "SHARD_BYTES", 20_000)
+    model, rng = Tokenizer.from_file(path), random.Random(6)
+    pool = sorted(texts.values())[:120]
+    rows = [(rng.choice([None, 3, 5, 5, 9, i]), rng.choice([*pool, None, ""])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    seen = []
+    for _ in range(2):
+        folder, manifest = tokenstore.write(df, path)
+        assert manifest.count() > 5
+        seen.append([tuple(r) for r in tokenstore.read(spark, folder, manifest).orderBy("start").collect()])
+    assert seen[0] == seen[1]
+    want, at = [], 0
+    for r in df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect():
+        ids = [*model.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert [w[0] for w in want] == [g[0] for g in seen[0]] and [w[1:] for w in want] == [g[1:] for g in seen[0]]
+
+
+def test_word_store_forgets_nothing_wrongly():
+    """A store of few places gives every word its own ids, also where words displace each other and when it starts anew."""
+    from fluvius.llm import textkernel as K
+
+    rng = random.Random(11)
+    store = K.Store(50)
+    solve = lambda words, _: (np.frombuffer(b"".join(words), np.uint8).astype(np.int32), np.array([len(w) for w in words]))
+    for _ in range(40):
+        words_ = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(400)]
+        data, offsets = K.buffers(pa.array([" ".join(words_)]))
+        s, e, _ = K.spans(data, offsets, K.NOT_SPACE)
+        flat, n = store.ids(K.hashes(data, s, e, K.BYTE_TABLE), data, s, e, solve)
+        assert bytes(flat.astype(np.uint8)).decode() == "".join(words_) and n.tolist() == [len(w) for w in words_]
+
+
 def test_parts_keep_the_tokenizer_exact():
     path = queries.vocabulary(queries.WORD_VOCABULARY)
     from tokenizers import Tokenizer
@@ -310,6 +349,16 @@ def test_wavelet_matrix():
         at = np.flatnonzero(ids == t)
         assert m.count(t) == len(at) and m.count(t, 1000, 90_000) == ((at >= 1000) & (at < 90_000)).sum()
         assert m.occurrence(t, 3) == (at[3] if len(at) > 3 else -1) and m.occurrence(t, len(at)) == -1
+    for p in range(m.planes):
+        for i in [0, 1, 65535, 65536, 65537, len(ids) - 1, len(ids), *rng.integers(0, len(ids), 5).tolist()]:
+            ones = m.rank(p, i)
+            assert ones == m.rank(p, len(ids)) or m.rank(p, m.select(p, 1, ones)) == ones and m.bit(p, m.select(p, 1, ones)) == 1
+            assert i - ones == m.zeros[p] or m.bit(p, m.select(p, 0, i - ones)) == 0
+    none = tokenstore.WaveletMatrix.open(tokenstore.pack(ids[:0], np.array([], np.int64)))
+    assert none.n == 0 and len(none.all()) == 0 and none.count(3) == 0
+    wide = np.array([70_000, 1, 1 << 19, 70_000])
+    m = tokenstore.WaveletMatrix.open(tokenstore.pack(wide, np.array([1, 3]), pa.array(["x", "y"])))
+    assert m.all().tolist() == wide.tolist() and m.occurrence(70_000, 1) == 3 and m.ids().to_pylist() == ["x", "y"] and m.lengths.tolist() == [1, 3]
 
 
 def test_nearest(spark):
