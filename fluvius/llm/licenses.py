@@ -274,6 +274,18 @@ def _rules() -> list[tuple[str, int, float, str, str]]:
 RULES = _rules()
 
 
+#: Beyond A-Z two characters have a lower case with ASCII letters: U+212A and U+0130.
+_ODD = ("\u212a", "\u0130")
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def lowered(text: Column) -> Column:
+    """The text (null: empty) with A-Z lower-cased. Letters beyond ASCII may be too, which are in no rule; they stay letters."""
+    given = F.coalesce(text, F.lit(""))
+    odd = F.contains(given, F.lit(_ODD[0])) | F.contains(given, F.lit(_ODD[1]))
+    return F.when(odd, F.translate(given, _UPPER, _UPPER.lower())).otherwise(F.lower(given))
+
+
 def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
@@ -298,8 +310,7 @@ def _rule_table() -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, base places, and ``detections`` array<struct<label, start, end, priority, score>>
     (word intervals, end exclusive, in text order) after suppression."""
-    lowered = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    body = F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, SEPARATORS, " ")), F.lit(" "))
+    body = F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered(F.col(text_col)), SEPARATORS, " ")), F.lit(" "))
     df = docs.select(F.col(id_col).alias("doc_id"), body.alias("_body"))
     keywords = sorted({r[3] for r in RULES} | {"under the mit license", "apache license version 2", "cc by nc"})
     body = F.col("_body")
