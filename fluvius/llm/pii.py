@@ -157,7 +157,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span's text replaced by its kind in brackets; overlapping spans are replaced as one, under the first's kind."""
     cols = docs.columns
-    df = _scanned(docs.select(F.struct(*[F.col(c) for c in cols]).alias("_row"), F.col(text_col).alias("_text")))
+    df = _scanned(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(f"`{text_col}`").alias("_text")))
     merged_type = "array<struct<start:int,end:int,kind:string>>"
 
     def merge(acc: Column, x: Column) -> Column:

@@ -205,7 +205,27 @@ def hexed(fp: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id."""
-    first = groups(docs, id_col, text_col).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("_kept"), "left_semi")
-    return named.dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one document of each group: that with the smallest id. Of rows that share this id the one with the smallest
+    hash of its text (then of the whole row) stays, one of those that are equal in both.
+
+    Texts are not shuffled: the ids to go are joined, and of repeated ids only hashes move."""
+    of = groups(docs, id_col, text_col).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = write_table(of, "gone")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    # the rows' own columns stay within a struct: none of their names can meet those of the joins
+    key = F.col(f"_row.`{id_col}`")
+    rows = docs.select(F.struct(*cols).alias("_row"), F.struct(F.xxhash64(F.col(f"`{text_col}`")).alias("a"), F.xxhash64(*_hashable(docs)).alias("b")).alias("_hash"))
+    kept = rows.join(gone, key == F.col("_gone"), "left_anti")
+    twice = docs.select(F.col(f"`{id_col}`").alias("_id")).where("_id is not null").groupBy("_id").count().where("count > 1").select("_id")
+    twice = write_table(twice, "twice")
+    if twice.isEmpty():
+        return kept.select("_row.*")
+    # of ids that come more than once only hashes are compared; rows left after that are equal, and one per id goes on from each task
+    least = write_table(kept.join(twice, key == F.col("_id"), "left_semi").groupBy(key.alias("_id")).agg(F.min("_hash").alias("_least")), "least")
+    one = kept.join(least, (key == F.col("_id")) & (F.col("_hash") == F.col("_least"))).dropDuplicates(["_id"])
+    return kept.join(twice, key == F.col("_id"), "left_anti").select("_row.*").unionAll(one.select("_row.*"))
+
+
+def _hashable(docs: DataFrame) -> list[Column]:
+    """Every column as a value that can be hashed (maps as text)."""
+    return [F.col(f"`{f.name}`") if not f.dataType.simpleString().count("map<") else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema.fields]

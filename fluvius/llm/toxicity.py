@@ -198,10 +198,10 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the texts scored as toxic, in one narrow pass; all columns stay as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     cols = docs.columns
-    rows = docs.select(F.struct(*cols).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(sent.value.score(b.column(1)) < THRESHOLD))], ["row"])
 
-    return rows.mapInArrow(run, rows.select("row").schema).select(*[F.col("row")[c].alias(c) for c in cols])
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
