@@ -18,6 +18,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluvius.llm.arrays import running
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: The phrases that always count, with their labels (fixed values).
@@ -35,8 +37,10 @@ x11;x11;x11 license
 bsd-2-clause;bsd;(?:simplified|freebsd|2 clause|two clause|new 2 clause) bsd(?: license)?|bsd 2 clause(?: license)?
 bsd-3-clause;bsd;(?:modified|revised|new|3 clause|three clause) bsd(?: license)?|bsd 3 clause(?: license)?
 bsd-4-clause;bsd;(?:original|4 clause|four clause) bsd(?: license)?|bsd 4 clause(?: license)?
-0bsd;0bsd;0bsd|zero clause bsd(?: license)?
-isc;isc;isc license|internet systems consortium license
+0bsd;0bsd;0bsd
+0bsd;zero clause bsd;zero clause bsd(?: license)?
+isc;isc;isc license
+isc;internet systems consortium;internet systems consortium license
 apache-1.1;apache;apache(?: software)? license (?:version |v )?1 1
 apache-2;apache;apache(?: software)? license (?:version |v )?2(?: 0)?
 apache-2;apache;apache 2(?: 0)?(?: license)?
@@ -133,7 +137,8 @@ dl-de-zero-2.0;datenlizenz;datenlizenz deutschland zero(?: version)? 2 0
 cdla-permissive-1.0;cdla;cdla permissive 1 0
 cdla-permissive-2.0;cdla;cdla permissive 2 0
 cdla-sharing-1.0;cdla;cdla sharing 1 0
-openrail;openrail;(?:bigscience )?(?:creativeml )?open ?rail(?: m)?(?: license)?
+openrail;openrail;(?:bigscience )?(?:creativeml )?openrail(?: m)?(?: license)?
+openrail;open rail;(?:bigscience )?(?:creativeml )?open rail(?: m)?(?: license)?
 bigscience-rail-1.0;bigscience;bigscience rail license(?: 1 0)?
 gemma-terms;gemma;gemma terms of use
 python-2.0;python;python software foundation license(?: version 2)?
@@ -179,7 +184,8 @@ naist;naist;naist license
 intel;intel;intel open source license
 nvidia;nvidia;nvidia (?:open model|source code|software) license
 llama;llama;llama [234](?: [123])? community license
-hpnd;hpnd;hpnd|historical permission notice and disclaimer
+hpnd;hpnd;hpnd
+hpnd;historical permission;historical permission notice and disclaimer
 lppl-1.3c;latex project;latex project public license(?: (?:version |v )?1 3c)?
 lppl;lppl;lppl(?: 1 [0123]c?)?
 mulan-psl-2;mulan;mulan (?:psl|permissive software license)(?: ?(?:version |v)?2)?
@@ -213,7 +219,7 @@ bsd-3-clause;0.9;endorse or promote;may be used to endorse or promote products d
 bsd-4-clause;0.9;advertising materials;all advertising materials mentioning features or use of this software must display
 apache-2;0.9;apache org;you may obtain a copy of the license at (?:https? )?www apache org licenses license 2 0
 apache-2;0.7;required by applicable law;unless required by applicable law or agreed to in writing software distributed under the license
-gpl;0.8;free software foundation;you can redistribute it and or modify it under the terms of the gnu general public license
+gpl;0.8;redistribute it;you can redistribute it and or modify it under the terms of the gnu general public license
 gpl;0.6;general public license;you should have received a copy of the gnu general public license
 lgpl;0.8;lesser general public license;you can redistribute it and or modify it under the terms of the gnu lesser general public license
 gpl;0.6;fitness for a particular purpose;without even the implied warranty of merchantability or fitness for a particular purpose
@@ -228,7 +234,8 @@ sspl-1.0;0.8;as a service;offer the program as a service to third parties you mu
 proprietary;0.8;all rights reserved;all rights reserved
 proprietary;0.8;confidential;confidential and proprietary
 proprietary;0.7;unauthorized;unauthorized (?:copying|reproduction|use|distribution) (?:of this (?:file|work|document) )?(?:is|via any medium is) (?:strictly )?prohibited
-non-commercial;0.7;commercial;(?:for )?non ?commercial (?:use|purposes) only
+non-commercial;0.7;noncommercial;(?:for )?noncommercial (?:use|purposes) only
+non-commercial;0.7;non commercial;(?:for )?non commercial (?:use|purposes) only
 non-commercial;0.7;commercial;not for commercial use
 research-only;0.7;research;for research (?:use|purposes) only
 no-derivatives;0.6;derivative;no derivative works (?:are )?(?:permitted|allowed)
@@ -336,20 +343,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     # in order (start, longer first, more important first) a detection is contained iff an earlier one reaches as far
     kept_type = "array<struct<label:string,start:int,end:int,priority:int,score:double>>"
-    zero = F.struct(F.lit(-1).alias("m1"), F.lit(-1).alias("m2"), F.lit(-1).alias("m3"), F.array().cast(kept_type).alias("kept"))
+    told_type = kept_type.replace("double", "double,inside:boolean")
+
+    def step(m: Column, d: Column) -> Column:
+        end, p = -d["neg_end"], d["priority"]
+        return F.struct(F.when(p <= 1, F.greatest(m["m1"], end)).otherwise(m["m1"]).alias("m1"), F.when(p <= 2, F.greatest(m["m2"], end)).otherwise(m["m2"]).alias("m2"), F.greatest(m["m3"], end).alias("m3"))
 
-    def step(acc: Column, d: Column) -> Column:
+    def one(m: Column, d: Column) -> Column:
         end, p = -d["neg_end"], d["priority"]
-        reach = F.when(p == 1, acc["m1"]).when(p == 2, acc["m2"]).otherwise(acc["m3"])
-        one = F.struct(d["label"].alias("label"), d["start"].alias("start"), end.alias("end"), p.alias("priority"), d["score"].alias("score"))
-        return F.struct(
-            F.when(p <= 1, F.greatest(acc["m1"], end)).otherwise(acc["m1"]).alias("m1"),
-            F.when(p <= 2, F.greatest(acc["m2"], end)).otherwise(acc["m2"]).alias("m2"),
-            F.greatest(acc["m3"], end).alias("m3"),
-            F.when(reach >= end, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(one))).alias("kept"),
-        )
-
-    kept = F.coalesce(F.when(F.size("_all") > 0, F.aggregate(F.col("_all"), zero, step, lambda a: a["kept"])), F.array().cast(kept_type))
+        reach = F.when(p == 1, m["m1"]).when(p == 2, m["m2"]).otherwise(m["m3"])
+        return F.struct(d["label"].alias("label"), d["start"].alias("start"), end.alias("end"), p.alias("priority"), d["score"].alias("score"), (reach >= end).alias("inside"))
+
+    zero = F.struct(*[F.lit(-1).alias(m) for m in ("m1", "m2", "m3")])
+    told = F.filter(running(F.col("_all"), zero, step, one, told_type), lambda x: ~x["inside"])
+    kept = F.coalesce(F.when(F.size("_all") > 0, F.transform(told, lambda x: x.dropFields("inside"))), F.array().cast(kept_type))
     return df.select(
         "doc_id", "n_words", n_base.cast("long").alias("n_base"),
         F.when(found, _spaces(F.col("_pieces")[0]) - 1).cast("long").alias("first_word"),
