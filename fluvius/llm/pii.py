@@ -5,7 +5,8 @@ pattern), and each is written so that a scan is linear in the text: starts insid
 
 Spans are code-point offsets, end exclusive. The base kinds (email, ip, card, phone) are taken leftmost and non-overlapping
 per kind; a match whose validator fails is dropped and not retried. The method adds kinds: ``iban`` (mod 97) and ``ssn``
-(issued ranges, and a context word within 40 code points).
+(issued ranges, and a context word). Context is the 40 code points before a match, and those after it up to 40 or the next
+match of its kind.
 
 Edge cases: null or empty texts have no spans; repeated rows give repeated results; a null id is returned as it is; other
 columns are ignored. Texts that hold the control characters U+0001 and U+0002 are handled: these count as any other
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluvius.llm.arrays import chunks, piece, running
+
 #: Order of kinds among spans that start at the same place.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
@@ -59,16 +62,17 @@ _SPAN = "array<struct<start:int,k:int,end:int,kind:string,score:double>>"
 def _found(text: Column, kind: str) -> Column:
     """All matches with their offsets and surroundings, in text order."""
     parts = F.split(F.regexp_replace(text, _PATTERNS[kind], "\u0001$0\u0002"), "\u0001")
-    zero = F.struct(F.length(parts[0]).alias("at"), F.right(parts[0], F.lit(CONTEXT)).alias("left"), F.array().cast(_FOUND).alias("out"))
+    zero = F.struct(F.length(parts[0]).alias("at"), F.right(parts[0], F.lit(CONTEXT)).alias("left"))
+
+    def step(a: Column, part: Column) -> Column:
+        return F.struct((a["at"] + F.length(part) - 1).alias("at"), F.right(F.concat(a["left"], F.replace(part, F.lit("\u0002"), F.lit(""))), F.lit(CONTEXT)).alias("left"))
 
-    def step(acc: Column, part: Column) -> Column:
+    def one(a: Column, part: Column) -> Column:
         found = F.substring_index(part, "\u0002", 1)
-        rest = F.substring_index(part, "\u0002", -1)
-        end = acc["at"] + F.length(found)
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), found.alias("found"), F.concat(acc["left"], F.lit(" "), F.left(rest, F.lit(CONTEXT))).alias("near"))
-        return F.struct((end + F.length(rest)).alias("at"), F.right(rest, F.lit(CONTEXT)).alias("left"), F.concat(acc["out"], F.array(one)).alias("out"))
+        near = F.concat(a["left"], F.lit(" "), F.left(F.substring_index(part, "\u0002", -1), F.lit(CONTEXT)))
+        return F.struct(a["at"].alias("start"), (a["at"] + F.length(found)).alias("end"), found.alias("found"), near.alias("near"))
 
-    return F.aggregate(F.slice(parts, 2, F.size(parts)), zero, step, lambda a: a["out"])
+    return running(F.slice(parts, 2, F.size(parts)), zero, step, one, _FOUND)
 
 
 def _digits(s: Column) -> Column:
@@ -158,20 +162,18 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span's text replaced by its kind in brackets; overlapping spans are replaced as one, under the first's kind."""
     cols = docs.columns
     df = _scanned(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(f"`{text_col}`").alias("_text")))
-    merged_type = "array<struct<start:int,end:int,kind:string>>"
-
-    def merge(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        one = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
-        joined = F.when(F.size(acc) == 0, F.array(one)).when(x["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(one)))
-        return joined
-
-    spans = F.aggregate("spans", F.array().cast(merged_type), merge)
-    text = F.col("_text")
-    # what stands before each span, cut out once
-    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["end"]))
-    before = F.transform(F.arrays_zip(spans.alias("x"), ends.alias("from")), lambda z: F.when(z["x"].isNotNull(), F.concat(F.substring(text, z["from"] + 1, z["x"]["start"] - z["from"]), F.lit("["), F.upper(z["x"]["kind"]), F.lit("]"))))
-    tail = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
+    text, spans = F.col("_text"), F.col("spans")
+
+    def reach(a: Column, x: Column) -> Column:
+        return F.greatest(a, x["end"])
+
+    def one(a: Column, x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), a.alias("before"))
+
+    # a span that begins behind all before it begins a masked stretch, which ends where all before the next such span do
+    first = F.filter(running(spans, F.lit(0), reach, one, "array<struct<start:int,kind:string,before:int>>"), lambda x: x["start"] >= x["before"])
+    df = df.withColumn("_first", F.when(F.size("spans") > 0, first)).withColumn("_cut", F.when(F.size("spans") > 0, chunks(text)))
+    before = F.transform("_first", lambda x: F.concat(piece(F.col("_cut"), x["before"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    tail = piece(F.col("_cut"), F.array_max(F.transform(spans, lambda x: x["end"])), F.length(text))
     masked = F.when(F.size("spans") == 0, text).otherwise(F.concat(F.array_join(before, ""), tail))
     return df.select(*[masked.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in cols])
