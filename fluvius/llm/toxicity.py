@@ -2,8 +2,8 @@
 
 Each labelled text is its set of hashed words and word beginnings (4 to 7 bytes, for inflected forms). A word takes part if its share of toxic texts is no chance (exact binomial
 tail below ``CHANCE``): labels are noisy, and rare words would learn the noise. The loss is the logistic loss of the labels,
-a small ridge, and for every sentence of a labelled text that names a group the squared change of the text's score when the name is
-swapped for another of its kind: mentions of a group alone cannot raise or lower a score, however the labels fall.
+a small ridge, and for every sentence of a labelled text that names a group the squared change of the sentence's score when the
+name is swapped for another of its kind: mentions of a group alone cannot raise or lower a score, however the labels fall.
 At most ``SAMPLE`` labelled rows are learnt from. Scoring is one narrow pass with the weights broadcast (at most
 ``BUCKETS`` floats).
 
@@ -44,6 +44,11 @@ IDENTITY = (
 )
 
 
+#: Bytes that end a sentence.
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?\n"]] = True
+
+
 def _hash(words: list[str]) -> np.ndarray:
     data, offsets = K.buffers(pa.array(words))
     s, e, _ = K.spans(data, offsets, K.WORD)
@@ -58,12 +63,6 @@ def _bucket(word: np.ndarray) -> np.ndarray:
     return (word % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = K.buffers(column)
-    s, e, doc = K.spans(data, offsets, K.WORD)
-    return K.hashes(data, s, e, K.LOWER_TABLE), doc
-
-
 def terms_of(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, log2(1 + count)) of the distinct words and word beginnings of each text, sorted; only the ``wanted`` buckets, if given."""
     data, offsets = K.buffers(column)
@@ -86,14 +85,26 @@ def terms_of(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.nda
     return key // BUCKETS, key % BUCKETS, np.log2(1 + count).astype(np.float32)
 
 
-def swaps_of(word: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
-    """(text, bucket that a swap takes away, bucket that it brings), for each identity term of a text and each other of its kind."""
-    out = set()
-    for group in GROUPS:
-        for i in np.flatnonzero(np.isin(word, group)).tolist():
-            gone = int(_bucket(word[i : i + 1])[0])
-            out |= {(int(doc[i]), gone, come) for come in _bucket(group[group != word[i]]).tolist()}
-    return sorted(out)
+def swaps_of(column: pa.Array) -> list[tuple[int, int, int, float, float]]:
+    """(text, bucket of a term, bucket of the term put in its place, the values that a sentence of the text loses and gains) for
+    every sentence with an identity term and each other term of its kind. All of a term's mentions in the sentence are swapped."""
+    data, offsets = K.buffers(column)
+    s, e, doc = K.spans(data, offsets, K.WORD)
+    word = K.hashes(data, s, e, K.LOWER_TABLE)
+    at = np.flatnonzero(np.isin(word, _ALL))
+    sentence = np.cumsum(_STOP[data])[s[at]] if len(at) else at
+    counts: dict[tuple[int, int], dict[int, int]] = {}
+    for i, of in zip(at.tolist(), sentence.tolist(), strict=True):
+        here = counts.setdefault((int(doc[i]), of), {})
+        here[int(word[i])] = here.get(int(word[i]), 0) + 1
+    out = []
+    for (d, _), here in counts.items():
+        for group in GROUPS:
+            for gone in (w for w in group.tolist() if w in here):
+                for come in (w for w in group.tolist() if w != gone):
+                    k, m = here[gone], here.get(come, 0)
+                    out.append((d, gone % BUCKETS, come % BUCKETS, float(np.log2(1 + k)), float(np.log2(1 + m + k) - np.log2(1 + m))))
+    return out
 
 
 def _tail(hits: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
@@ -114,8 +125,9 @@ class Model:
         return 1 / (1 + np.exp(-self.intercept - np.bincount(doc, weights=self.weights[b] * x, minlength=len(column))))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, float]], swaps: list[tuple[int, int]]) -> Model:
-    """Accelerated gradient descent. rows: buckets, values and label of each text; swaps: the bucket taken away and the one brought."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, float]], swaps: list[tuple[int, int, float, float]]) -> Model:
+    """Accelerated gradient descent. rows: buckets, values and label of each text; swaps: the bucket taken away, the one brought,
+    and the values that go and come with them."""
     y = np.array([r[2] for r in rows])
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
@@ -133,18 +145,19 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], swaps: list[tuple[in
     cols = [place[b][place[b] >= 0] for b, _, _ in rows]
     row, col, x = np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols), np.concatenate([v[place[b] >= 0] for b, v, _ in rows])
     gone, come = (np.array([place[x[k]] for x in swaps], np.int64) for k in (0, 1))
+    less, more = (np.array([x[k] for x in swaps]) for k in (2, 3))
     live = (gone >= 0) | (come >= 0)
-    gone, come = gone[live], come[live]
+    gone, come, less, more = gone[live], come[live], less[live], more[live]
     n, k, w, bias = len(rows), len(used), np.zeros(len(used) + 1), float(np.log(share / (1 - share)))
     # step sizes by column: a bound of the curvature of each weight; the last place stands for words without a weight
     length = np.bincount(row, weights=x, minlength=n) + 1.0
-    curve = np.bincount(col, weights=0.25 * x * length[row], minlength=k + 1) + RIDGE + 4 * SWAP * (np.bincount(np.where(gone < 0, k, gone), minlength=k + 1) + np.bincount(np.where(come < 0, k, come), minlength=k + 1))
+    curve = np.bincount(col, weights=0.25 * x * length[row], minlength=k + 1) + RIDGE + 4 * SWAP * (np.bincount(np.where(gone < 0, k, gone), weights=less**2, minlength=k + 1) + np.bincount(np.where(come < 0, k, come), weights=more**2, minlength=k + 1))
     v, vb, t = w.copy(), bias, 1.0
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-(np.bincount(row, weights=x * v[col], minlength=n) + vb)))
         g = np.bincount(col, weights=x * (p - y)[row], minlength=k + 1) + RIDGE * v
-        moved = 2 * SWAP * (v[come] - v[gone])  # place -1 is the last, whose weight is 0
-        g += np.bincount(np.where(come < 0, k, come), weights=moved, minlength=k + 1) - np.bincount(np.where(gone < 0, k, gone), weights=moved, minlength=k + 1)
+        moved = 2 * SWAP * (more * v[come] - less * v[gone])  # place -1 is the last, whose weight is 0
+        g += np.bincount(np.where(come < 0, k, come), weights=moved * more, minlength=k + 1) - np.bincount(np.where(gone < 0, k, gone), weights=moved * less, minlength=k + 1)
         after, after_b = v - g / curve, vb - (p - y).sum() / (0.25 * length.sum())
         after[k] = 0
         u = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -157,24 +170,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], swaps: list[tuple[in
 
 def _row_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in K.slices(batches):
-        word, doc = words_of(b.column(1))
         of, bucket, x = terms_of(b.column(1))
         cut = np.searchsorted(of, np.arange(b.num_rows + 1))
         swapped: dict[int, list] = {}
-        for d, gone, come in swaps_of(word, doc):
-            swapped.setdefault(d, []).append([gone, come])
+        for d, *swap in swaps_of(b.column(1)):
+            swapped.setdefault(d, []).append([float(v) for v in swap])
         cuts = list(zip(cut[:-1], cut[1:], strict=True))
         rows, values = [bucket[s:e].astype(np.int32).tobytes() for s, e in cuts], [x[s:e].astype(np.float16).tobytes() for s, e in cuts]
-        kind = pa.list_(pa.list_(pa.int64()))
+        kind = pa.list_(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(rows, pa.binary()), pa.array(values, pa.binary()), pa.array([swapped.get(i, []) for i in range(b.num_rows)], kind), b.column(2)], ["id", "buckets", "counts", "swaps", "label"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from at most ``SAMPLE`` labelled rows; only their hashed words reach the driver."""
     rows = sample(docs, labels, "toxic", FOLD, REST, SAMPLE, id_col, text_col)
-    got = rows.mapInArrow(_row_batches, "id string, buckets binary, counts binary, swaps array<array<long>>, label double").collect()
+    got = rows.mapInArrow(_row_batches, "id string, buckets binary, counts binary, swaps array<array<double>>, label double").collect()
     got.sort(key=lambda r: (r.id, r.buckets))
-    return train([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.float16).astype(float), r.label) for r in got], [(g, c) for r in got for g, c in r.swaps])
+    return train([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.float16).astype(float), r.label) for r in got], [(int(g), int(c), less, more) for r in got for g, c, less, more in r.swaps])
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
