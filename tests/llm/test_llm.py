@@ -200,7 +200,7 @@ def test_toxicity_swaps():
         col = pa.array([f"the {group} are {'idiots' if bad else 'fine'} w{rng.integers(50)}"])
         _, b, x = toxicity.terms_of(col)
         rows.append((b, x.astype(float), float(bad)))
-        swaps += [(g, c) for _, g, c in toxicity.swaps_of(*toxicity.words_of(col))]
+        swaps += [x[1:] for x in toxicity.swaps_of(col)]
     score = lambda m, t: float(m.score(pa.array([t]))[0])
     fair, plain = toxicity.train(rows, swaps), toxicity.train(rows, [])
     change = lambda m: max(abs(score(m, f"the {a} are here") - score(m, f"the {b} are here")) for a in names for b in names)
