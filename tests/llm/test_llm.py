@@ -292,6 +292,91 @@ def test_passages_whose_phrases_occur_singly_before(spark):
     assert [tuple(r) for r in got] == [(101, 70, 130, 100, 30, 90, 60, 60)]
 
 
+def common_docs(rng, n):
+    """Texts full of common phrases of five words; groups of them hold a passage, some words of it changed in each."""
+    vocab = [f"w{i}" for i in range(1500)]
+    phrases = [[rng.choice(vocab) for _ in range(5)] for _ in range(60)]
+
+    def filler(k):
+        out = []
+        while len(out) < k:
+            out += rng.choice(phrases) if rng.random() < 0.3 else [rng.choice(vocab)]
+        return out
+
+    shared = [filler(rng.randint(45, 90)) for _ in range(n // 4)]
+    rows = []
+    for i in range(n):
+        p = rng.choice([0, 0, 0.04, 0.08, 0.12])
+        body = [w if rng.random() >= p else rng.choice(vocab) for w in shared[i % len(shared)]]
+        if rng.random() < 0.3:  # words left out or put in
+            k = rng.randrange(20, 30)
+            body = body[:k] + (filler(4) if rng.random() < 0.5 else []) + body[k + rng.randint(0, 2) :]
+        rows.append((i, filler(rng.randint(10, 120)) + body + filler(rng.randint(10, 120)) if i < n - 4 else filler(150)))
+    return rows
+
+
+def test_passages_cover_what_brute_force_finds(spark):
+    """Places of words: along every diagonal of every pair of texts, all segments of 30 words and 80 % equal ones."""
+    rows = common_docs(random.Random(21), 100)
+    number = {}
+    words_ = [np.array([number.setdefault(w, len(number)) for w in t]) for _, t in rows]
+    want = [set() for _ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            equal = words_[i][:, None] == words_[j][None, :]
+            for d in range(-len(words_[j]) + 30, len(words_[i]) - 29):
+                eq = np.diagonal(equal, -d)
+                if eq.sum() >= 24:
+                    for s, e in passages.segments(eq, 3):
+                        if e - s >= 30 and eq[s:e].sum() >= 0.8 * (e - s):
+                            want[i] |= set(range(max(d, 0) + s, max(d, 0) + e))
+                            want[j] |= set(range(max(-d, 0) + s, max(-d, 0) + e))
+    got = [set() for _ in rows]
+    for r in passages.repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    n = sum(map(len, want))
+    assert n > 3000 and sum(len(a & b) for a, b in zip(want, got, strict=True)) >= 0.9 * n
+    extra = sum(len(b - a) for a, b in zip(want, got, strict=True))
+    print("recall", sum(len(a & b) for a, b in zip(want, got, strict=True)) / n, "beyond", extra / n)
+    assert extra < 0.1 * n
+
+
+def test_passages_grow_beyond_any_margin(spark):
+    """Two texts of 9000 words that differ at one word in 14: no margin of a fixed size holds what few shared seeds begin."""
+    rng = random.Random(22)
+    one = [f"v{rng.randrange(10**9)}" for _ in range(9000)]
+    two = [f"u{rng.randrange(10**9)}" if i % 14 == 0 and not 4000 <= i < 4060 else w for i, w in enumerate(one)]
+    head = [f"t{rng.randrange(10**9)}" for _ in range(40)]
+    got = passages.pairs(spark.createDataFrame([(1, " ".join(one)), (2, " ".join(head + two))], "doc_id long, text string")).collect()
+    assert [(r.start_word, r.end_word, r.partner_start, r.partner_end) for r in got] == [(41, 9040, 1, 9000)]
+
+
+def test_passages_deal_hot_keys(spark, monkeypatch):
+    """The same rows with every key of more than three rows dealt over tasks."""
+    rows = [(i, " ".join(t)) for i, t in common_docs(random.Random(23), 40)] + [(100 + i, "a common line of many words " * 9) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, passages.repeats(df).collect()))
+    monkeypatch.setattr(passages, "FAIR", 3)
+    monkeypatch.setattr(passages, "PIECES", 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        assert sorted(map(tuple, passages.repeats(df).collect())) == want and len(want) > 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_gaps_are_aligned_with_one_break():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        a, b = rng.integers(0, 4, int(rng.integers(0, 9))), rng.integers(0, 4, int(rng.integers(0, 9)))
+        eq, i, j = passages._common(a, b)
+        k = min(len(a), len(b))
+        best = max((a[:t] == b[:t]).sum() + (a[len(a) - k + t :] == b[len(b) - k + t :]).sum() for t in range(k + 1))
+        assert len(eq) == max(len(a), len(b)) and eq.sum() == best
+        assert all(a[i[c]] == b[j[c]] for c in np.flatnonzero(eq)) and (np.diff(i) >= 0).all() and (np.diff(j) >= 0).all()
+
+
 def test_passages_of_one_word_are_few(spark):
     got = passages.pairs(spark.createDataFrame([(1, "the " * 300), (2, "a b c " + "the " * 300)], "doc_id long, text string")).collect()
     assert set().union(*[range(r.start_word, r.end_word) for r in got]) >= set(range(12, 303)) and len(got) <= 10
