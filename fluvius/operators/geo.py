@@ -12,9 +12,9 @@ PIXELS, PLAYABLE_M, WORLD_M = 4096, 14_336.0, 57_344.0
 
 #: Drainage areas (km2) at which a stream's order rises (fixed values).
 AREA_STEPS = (1.5, 8, 30, 120, 450, 1800, 7000, 30000)
-#: Channel width and depth (m) by order, 2 to 10: parameters of the carving.
-WIDTHS = {2: 4.0, 3: 6.0, 4: 10.0, 5: 18.0, 6: 30.0, 7: 50.0, 8: 80.0, 9: 120.0, 10: 150.0}
-DEPTHS = {2: 1.0, 3: 1.5, 4: 2.0, 5: 3.0, 6: 4.5, 7: 6.0, 8: 8.0, 9: 12.0, 10: 15.0}
+#: Channel width and depth (m) by order, 2 to 10 (fixed values).
+WIDTHS = {2: 4.0, 3: 8.0, 4: 14.0, 5: 24.0, 6: 40.0, 7: 70.0, 8: 120.0, 9: 200.0, 10: 300.0}
+DEPTHS = {2: 0.8, 3: 1.2, 4: 2.0, 5: 3.0, 6: 4.0, 7: 6.0, 8: 8.0, 9: 12.0, 10: 15.0}
 
 
 def utm_zone(lon: Column, lat: Column) -> Column:
@@ -108,9 +108,9 @@ def region(lat: Column, lon: Column) -> Column:
 def resample_policy(native: Column, target: Column, force: Column) -> Column:
     """(name, factor, resolution) with which a source is read for a target resolution."""
     f = F.when(force > 1, F.struct(F.lit("oversample-forced").alias("name"), force.alias("factor"), (target / force).alias("res"))).when(force == 1, F.struct(F.lit("direct").alias("name"), F.lit(1).alias("factor"), target.alias("res")))
-    fine = F.struct(F.lit("oversample").alias("name"), F.lit(2).alias("factor"), (target / 2).alias("res"))
+    fine = F.struct(F.lit("fetch-fine-then-block-average").alias("name"), F.lit(2).alias("factor"), (target / 2).alias("res"))
     direct = lambda name: F.struct(F.lit(name).alias("name"), F.lit(1).alias("factor"), target.alias("res"))
-    return F.coalesce(f, F.when(native <= target / 2, fine).when(native <= target, direct("direct-bilinear")).otherwise(direct("cubic-spline")))
+    return F.coalesce(f, F.when(native <= target / 2, fine).when(native <= target, direct("direct-bilinear")).otherwise(direct("upsample-cubic-spline")))
 
 
 def resampling(native: Column, target: Column) -> Column:

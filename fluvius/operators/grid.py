@@ -1,22 +1,31 @@
 """Raster operators on long-form rasters (r, c, z), nodata as NULL.
 
-Moving windows run over strips: a row or column of pixels is cut into strips of ``STRIP`` with the window's halo copied to
-both neighbours, so no window partition grows with the raster and a wide raster spreads over all tasks.
+Minima, maxima and gradients run over strips: a row or column of pixels is cut into strips of ``STRIP`` with the window's halo
+copied to both neighbours, so no window partition grows with the raster. Means, de-terracing and distances are array kernels
+over tiles or strips (``tiles``): one shuffle each, two for distances.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from fluvius.operators import tiles
+
 STRIP = 512
 
 
-def block_mean(df: DataFrame, f: int) -> DataFrame:
-    """f x f means that ignore nodata; the pixel counts of both sides must be multiples of f (see ``block_display``)."""
+def block_mean(df: DataFrame, f: int, checked: bool = False) -> DataFrame:
+    """f x f means that ignore nodata; the pixel counts of both sides must be multiples of f (see ``block_display``), which is an
+    error otherwise if ``checked``."""
+    if checked:
+        n = df.agg((F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w"))
+        even = F.expr(f"_h % {f} = 0 and _w % {f} = 0")
+        df = df.crossJoin(F.broadcast(n)).where(F.when(even, F.lit(True)).otherwise(F.raise_error(F.lit(f"the raster is not a whole number of blocks of {f}")).cast("boolean"))).drop("_h", "_w")
     return df.groupBy(F.expr(f"r div {f}").cast("int").alias("r"), F.expr(f"c div {f}").cast("int").alias("c")).agg(F.avg("z").alias("z"))
 
 
@@ -46,40 +55,38 @@ def focal_min_max(df: DataFrame, size: int) -> DataFrame:
     return _along(one, "r", h, lambda w: {"lo": F.min("lo").over(_frame(w, h)), "hi": F.max("hi").over(_frame(w, h))})
 
 
-def mirrored(df: DataFrame, half: int) -> DataFrame:
-    """The raster with ``half`` rows and columns mirrored beyond each edge (d c b a | a b c d | d c b a)."""
-    n = F.broadcast(df.agg((F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w")))
-
-    def both(axis: str, size: str) -> Column:
-        a, n = F.col(axis), F.col(size)
-        return F.explode(F.array_compact(F.array(a, F.when(a < half, -1 - a), F.when(a >= n - half, 2 * n - 1 - a))))
-
-    out = df.crossJoin(n).withColumn("r", both("r", "_h")).withColumn("c", both("c", "_w"))
-    return out.withColumn("_in", (F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") < F.col("_h")) & (F.col("c") < F.col("_w"))).drop("_h", "_w")
-
-
 def focal_mean(df: DataFrame, size: int, column: str = "z", out: str = "mean") -> DataFrame:
     """Mean of a centred odd window with mirrored edges."""
     h = size // 2
-    one = _along(mirrored(df, h), "c", h, lambda w: {"_p": F.avg(column).over(_frame(w, h))})
-    return _along(one, "r", h, lambda w: {out: F.avg("_p").over(_frame(w, h))}).where("_in").drop("_in", "_p")
+    return tiles.tiled(df, h, lambda a: {column: a[column], out: tiles.window_mean(a[column], h)}, [column], {column: "double", out: "double"})
 
 
 def deterrace(df: DataFrame, flat: float = 2.5, size: int = 7) -> DataFrame:
     """Smooths integer terraces: where the window's range is at most ``flat`` the window's mean, twice."""
-    flagged = focal_min_max(df.select("r", "c", "z"), size).select("r", "c", "z", (F.col("hi") - F.col("lo") <= flat).alias("flat"))
-    for _ in range(2):
-        flagged = focal_mean(flagged, size).select("r", "c", F.when(F.col("flat"), F.col("mean")).otherwise(F.col("z")).alias("z"), "flat")
-    return flagged.select("r", "c", "z")
+    h = size // 2
+
+    def kernel(a: tiles.Arrays) -> tiles.Arrays:
+        z = a["z"]
+        low, high = tiles.window_range(z, h)
+        level = high - low <= flat
+        for _ in range(2):
+            z = np.where(level, tiles.window_mean(z, h), z)
+        return {"z": z}
+
+    return tiles.tiled(df, 3 * h, kernel, ["z"], {"z": "double"})
 
 
 def masked_mean(df: DataFrame, size: int) -> DataFrame:
     """Mean of a window over mask pixels (column m) with mirrored edges, NULL where it holds none."""
     h = size // 2
-    put = mirrored(df, h).withColumns({"_v": F.when(F.col("m"), F.col("z")).otherwise(0.0), "_n": F.when(F.col("m"), 1.0).otherwise(0.0)})
-    one = _along(put, "c", h, lambda w: {"_v": F.sum("_v").over(_frame(w, h)), "_n": F.sum("_n").over(_frame(w, h))})
-    two = _along(one, "r", h, lambda w: {"_v": F.sum("_v").over(_frame(w, h)), "_n": F.sum("_n").over(_frame(w, h))})
-    return two.where("_in").select("r", "c", F.when(F.col("_n") > 0, F.col("_v") / F.col("_n")).alias("mean"))
+
+    def kernel(a: tiles.Arrays) -> tiles.Arrays:
+        on = a["m"] == 1
+        n = tiles.window_sum(on.astype(float), h)
+        total = tiles.window_sum(np.where(on, np.nan_to_num(a["z"]), 0.0), h)
+        return {"mean": np.where(n > 0, total / np.where(n > 0, n, 1), np.nan)}
+
+    return tiles.tiled(df, h, kernel, ["z", "m"], {"mean": "double"})
 
 
 def gradient(df: DataFrame, mpp: float) -> DataFrame:
@@ -145,10 +152,15 @@ def relief(df: DataFrame) -> DataFrame:
     return df.agg(F.min("z").alias("lo"), F.max("z").alias("hi"), (F.max("z") - F.min("z")).alias("relief"), F.avg(F.when(F.col("z").isNull(), 1.0).otherwise(0.0)).alias("nodata"))
 
 
-def plan_vertical(stats: DataFrame, exaggeration: float = 1.0, margin: float = 5.0) -> DataFrame:
-    """From one row (lo, hi, ws: the water surface) the sea level, height scale and offset; a scale beyond 10 km is an error."""
+def plan_vertical(stats: DataFrame, exaggeration: float = 1.0, margin: float = 5.0, sea_level: float | None = None) -> DataFrame:
+    """From one row (lo, hi, ws: the water surface) the sea level, height scale and offset; a scale beyond 10 km is an error, and
+    so is a given sea level too low for the lowest terrain."""
     ex = exaggeration
-    d = stats.withColumn("sea", F.ceil((F.col("ws") - F.col("lo")) * ex + margin).cast("double"))
+    least = (F.col("ws") - F.col("lo")) * ex + margin
+    given = F.ceil(least).cast("double")
+    if sea_level is not None:
+        given = F.when(least > sea_level, F.raise_error(F.lit("the sea level is too low for the terrain")).cast("double")).otherwise(F.lit(float(sea_level)))
+    d = stats.withColumn("sea", given)
     d = d.withColumn("offset", F.col("sea") - F.col("ws") * ex)
     d = d.withColumns({"u_min": F.col("lo") * ex + F.col("offset"), "u_max": F.col("hi") * ex + F.col("offset")})
     d = d.withColumn("scale", F.ceil(F.col("u_max") * 1.02 / 10) * 10.0)
@@ -194,41 +206,27 @@ def bilinear(df: DataFrame, x: Column, y: Column, points: DataFrame) -> DataFram
     return p.join(df.select("r", "c", "z"), ["r", "c"]).where(F.col("z").isNotNull()).groupBy(*points.columns).agg((F.sum(F.col("z") * F.col("_w")) / F.sum("_w")).alias("z"))
 
 
-def nearest_distance(df: DataFrame, target: str, reach: int) -> DataFrame:
-    """For each pixel the squared distance (d2, in pixels) to the nearest pixel where ``target`` holds, and that pixel's z, within
-    ``reach``; ties to the smaller row, then column. Two passes: nearest in the column, then over the row's window."""
-    r = F.col("r")
-    up = lambda w: F.last(F.when(F.col(target), F.struct("r", "z")), ignorenulls=True).over(w.rangeBetween(-reach, 0))
-    down = lambda w: F.first(F.when(F.col(target), F.struct("r", "z")), ignorenulls=True).over(w.rangeBetween(0, reach))
-    one = _along(df, "r", reach, lambda w: {"_u": up(w), "_d": down(w)})
-    pick = F.when(F.col("_u").isNull() | (F.col("_d.r") - r < r - F.col("_u.r")), F.col("_d")).otherwise(F.col("_u"))
-    one = one.withColumn("_t", pick).select("r", "c", "z", target, F.when(F.col("_t").isNotNull(), F.struct(((F.col("_t.r") - r) * (F.col("_t.r") - r)).alias("dy2"), F.col("_t.r").alias("tr"), F.col("c").alias("tc"), F.col("_t.z").alias("tz"))).alias("_t"))
-    strips = F.sequence(F.col("c") - reach, F.col("c") + reach)
-    two = one.where(F.col("_t").isNotNull()).select("r", F.explode(strips).alias("c"), "_t")
-    best = two.groupBy("r", "c").agg(F.min(F.struct((F.col("_t.dy2") + (F.col("_t.tc") - F.col("c")) * (F.col("_t.tc") - F.col("c"))).alias("d2"), F.col("_t.tr").alias("tr"), F.col("_t.tc").alias("tc"), F.col("_t.tz").alias("tz"))).alias("_b"))
-    return df.join(best, ["r", "c"], "left").select("r", "c", "z", target, F.col("_b.d2").cast("long").alias("d2"), F.col("_b.tz").alias("near_z"))
+def nearest_distance(df: DataFrame, target: str) -> DataFrame:
+    """For each pixel the squared distance (d2, in pixels) to the nearest pixel where ``target`` holds, at any distance, and that
+    pixel's z; NULL where the raster has no such pixel. Ties to the smaller row, then column. Two passes: the nearest within each
+    column, then over the rows."""
+    one = tiles.strips(df.select("r", "c", "z", F.col(target).alias("t")), "c", lambda a: {"z": a["z"], "t": a["t"], **tiles.nearest_in_columns(a)}, ["z", "t"], {"z": "double", "t": "boolean", "tr": "double", "tz": "double"})
+    two = tiles.strips(one, "r", lambda a: {"z": a["z"], "t": a["t"], **tiles.nearest_in_rows(a)}, ["z", "t", "tr", "tz"], {"z": "double", "t": "boolean", "d2": "long", "near_z": "double"})
+    return two.select("r", "c", "z", F.col("t").alias(target), "d2", "near_z")
 
 
-def fill_nodata(df: DataFrame, reach: int) -> DataFrame:
-    """NULL pixels take the value of the nearest valid one at any distance; filled tells which. ``reach`` is that of the first
-    search, which is doubled until every pixel has its nearest; a raster without a valid pixel is an error."""
-    from fluvius.session import write_table
-
+def fill_nodata(df: DataFrame) -> DataFrame:
+    """NULL pixels take the value of the nearest valid one at any distance; filled tells which. A raster without a valid pixel is
+    an error. See ``filled_share``."""
+    near = nearest_distance(df.select("r", "c", "z", F.col("z").isNotNull().alias("_v")), "_v")
     void = F.col("z").isNull()
-    near = lambda w: F.max(void).over(_frame(w, 1))
-    beside = _along(_along(df.select("r", "c", "z"), "c", 1, lambda w: {"_h": near(w)}), "r", 1, lambda w: {"_n": near(w)})
-    # the nearest valid pixel of a NULL one has a NULL neighbour
-    part = write_table(beside.where(F.col("_h") | F.col("_n")).select("r", "c", "z", (~void).alias("_v")), "voids")
-    n = part.agg(F.count_if(void).alias("void"), F.count_if(~void).alias("valid")).first()
-    if n.void and not n.valid:
-        raise ValueError("the raster is entirely nodata")
-    if not n.void:
-        return df.select("r", "c", "z", F.lit(False).alias("filled"))
-    while True:  # within a square window only distances up to its half side are sure to be the least
-        found = write_table(nearest_distance(part, "_v", reach).where(void & (F.col("d2") <= reach * reach)).select("r", "c", "near_z"), "filled")
-        if found.count() == n.void:
-            return df.join(found, ["r", "c"], "left").select("r", "c", F.coalesce("z", "near_z").alias("z"), void.alias("filled"))
-        reach *= 2
+    none = F.raise_error(F.lit("the raster is entirely nodata")).cast("double")
+    return near.select("r", "c", F.when(void & F.col("d2").isNull(), none).otherwise(F.coalesce("z", "near_z")).alias("z"), void.alias("filled"))
+
+
+def filled_share(filled: DataFrame) -> DataFrame:
+    """Share of the pixels that were filled."""
+    return filled.agg(F.avg(F.col("filled").cast("double")).alias("share"))
 
 
 def taper(d2: Column, mpp: float, limit: float) -> Column:
@@ -245,8 +243,11 @@ def raster_components(df: DataFrame, mask: str) -> DataFrame:
     cell = on.withColumn("_g", F.col("c") - F.row_number().over(w))
     runs = cell.groupBy("r", "_g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
     runs = runs.withColumn("run", F.col("r").cast("long") * (1 << 31) + F.col("c0"))
-    a, b = runs.alias("a"), runs.alias("b")
-    touch = a.join(b, (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a.c0") <= F.col("b.c1")) & (F.col("b.c0") <= F.col("a.c1")))
+    # runs meet over cells of columns, so that a row of many runs is not joined with all of the next
+    spread = runs.withColumn("_k", F.explode(F.sequence(F.floor(F.col("c0") / STRIP), F.floor(F.col("c1") / STRIP))))
+    a, b = spread.alias("a"), spread.alias("b")
+    meet = (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a._k") == F.col("b._k")) & (F.col("a.c0") <= F.col("b.c1")) & (F.col("b.c0") <= F.col("a.c1"))
+    touch = a.join(b, meet)
     found = components(touch.select(F.col("a.run").alias("src"), F.col("b.run").alias("dst")))
     labelled = runs.join(found, runs["run"] == found["node"], "left").select("r", "c0", "c1", F.coalesce("component", "run").alias("component"))
     return labelled.select("r", F.explode(F.sequence("c0", "c1")).alias("c"), "component")

@@ -34,7 +34,7 @@ def levels(points: DataFrame, pixels: DataFrame) -> DataFrame:
     around = lambda c: F.explode(F.sequence(F.col(c) - AROUND, F.col(c) + AROUND))
     near = points.select("key", around("c").alias("c"), "r").select("key", "c", around("r").alias("r"))
     value = F.coalesce(F.median(F.when(F.col("water"), F.col("surface"))), F.min("z"))
-    return points.join(near.join(pixels, ["c", "r"]).groupBy("key").agg(F.round(value, 1).alias("level")), "key", "left")
+    return points.join(near.join(pixels, ["c", "r"]).groupBy("key").agg(F.bround(value, 1).alias("level")), "key", "left")
 
 
 class Border:
@@ -112,22 +112,12 @@ def streams(lines: DataFrame, segments: DataFrame, crossings: DataFrame, meeting
     # an entry that stands for further reaches stays where it is
     p = border.pixel(t.join(rank, "line"), at_edge & (F.col("others") == 0))
     p = p.withColumn("label", _named(F.when(F.col("edge").isNull(), "").otherwise(F.format_string(" (%s edge)", "edge"))))
-    return _fields(levels(p, pixels).withColumns({"kind": F.lit("water.stream"), "rate": F.round("rate", 2)}))
+    return _fields(levels(p, pixels).withColumns({"kind": F.lit("water.stream"), "rate": F.bround("rate", 2)}))
 
 
 def crossed(edges: DataFrame, boxes: DataFrame, segments: DataFrame) -> DataFrame:
     """poly: polygons that a segment meets, by crossing an edge or by starting inside."""
-    pairs = V.crossing_boxes(boxes, segments, CELL).select("poly", "line", "seq", *V.SEGMENT).distinct()
-    e = edges.select("poly", *[F.col(c).alias(f"e{c}") for c in V.SEGMENT])
-    side = lambda ax, ay, bx, by, px, py: F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
-    over = side("x1", "y1", "x2", "y2", "ex1", "ey1") * side("x1", "y1", "x2", "y2", "ex2", "ey2") <= 0
-    over &= side("ex1", "ey1", "ex2", "ey2", "x1", "y1") * side("ex1", "ey1", "ex2", "ey2", "x2", "y2") <= 0
-    over &= (F.least("ex1", "ex2") <= F.greatest("x1", "x2")) & (F.least("x1", "x2") <= F.greatest("ex1", "ex2"))
-    over &= (F.least("ey1", "ey2") <= F.greatest("y1", "y2")) & (F.least("y1", "y2") <= F.greatest("ey1", "ey2"))
-    at = F.col("ex1") + F.try_divide((F.col("y1") - F.col("ey1")) * (F.col("ex2") - F.col("ex1")), F.col("ey2") - F.col("ey1"))
-    right = ((F.col("ey1") <= F.col("y1")) != (F.col("ey2") <= F.col("y1"))) & (at > F.col("x1"))
-    hit = pairs.join(e, "poly").groupBy("poly", "line", "seq").agg(F.max(over).alias("over"), F.sum(F.coalesce(right.cast("int"), F.lit(0))).alias("n"))
-    return hit.where("over or n % 2 = 1").select("poly").distinct()
+    return V.meeting(edges, boxes, segments, CELL).select("poly").distinct()
 
 
 def spans(edges: DataFrame, fixed: str, run: str, at: Column) -> DataFrame:
@@ -154,7 +144,7 @@ def lakes(polygons: DataFrame, edges: DataFrame, lines: DataFrame, segments: Dat
     half = own.select("poly", ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
     wide = spans(edges.join(half, "poly"), "y", "x", F.col("y")).groupBy("poly").agg(F.max_by((F.col("a") + F.col("b")) / 2, F.struct(F.col("b") - F.col("a"), -F.col("a"))).alias("x"))
     p = border.pixel(own.join(half, "poly").join(wide, "poly"), F.lit(False)).withColumn("key", F.concat(F.lit("lake-"), "poly"))
-    more = {"kind": F.lit("water.lake"), "label": F.coalesce("name", F.lit("unnamed lake")), "area_km2": F.round("area_km2", 3)}
+    more = {"kind": F.lit("water.lake"), "label": F.coalesce("name", F.lit("unnamed lake")), "area_km2": F.bround("area_km2", 3)}
     return _fields(levels(p, pixels).withColumns(more))
 
 
@@ -178,7 +168,7 @@ def seas(polygons: DataFrame, edges: DataFrame, pixels: DataFrame, border: Borde
     x = F.when(s <= h, x1).when(s <= h + w, x1 - (s - h)).when(s <= 2 * h + w, x0).otherwise(x0 + (s - 2 * h - w))
     y = F.when(s <= h, y0 + s).when(s <= h + w, y1).when(s <= 2 * h + w, y1 - (s - h - w)).otherwise(y0)
     p = border.pixel(mid.withColumns({"x": x, "y": y}), F.lit(True)).withColumn("key", F.concat(F.lit("sea-"), "poly"))
-    more = {"kind": F.lit("water.border_sea"), "label": F.format_string("sea (%s edge)", "edge"), "edge_km": F.round(F.col("length") / 1000, 2)}
+    more = {"kind": F.lit("water.border_sea"), "label": F.format_string("sea (%s edge)", "edge"), "edge_km": F.bround(F.col("length") / 1000, 2)}
     return _fields(levels(p, pixels).withColumns(more))
 
 

@@ -21,14 +21,22 @@ def lengths(segments: DataFrame) -> DataFrame:
 
 
 def interpolate(measures: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Points at distances ``d`` along lines (wanted: line, d, and more), clamped to the line; the first segment that reaches d."""
-    m = measures.select("line", F.col("seq").alias("_seq"), *SEGMENT, "len", "at")
-    total = measures.groupBy("line").agg(F.max(F.col("at") + F.col("len")).alias("_total"))
-    w = wanted.join(total, "line").withColumn("_d", F.greatest(F.lit(0.0), F.least("d", "_total")))
-    hit = w.join(m, "line").where((F.col("_d") >= F.col("at")) & (F.col("_d") <= F.col("at") + F.col("len")))
-    t = F.when(F.col("len") > 0, (F.col("_d") - F.col("at")) / F.col("len")).otherwise(0.0)
-    point = F.struct("_seq", (F.col("x1") + (F.col("x2") - F.col("x1")) * t).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * t).alias("y"))
-    return hit.groupBy(*wanted.columns).agg(F.min(point).alias("_p")).select(*wanted.columns, F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+    """Points at distances ``d`` along lines (wanted: line, d, and more), clamped to the line; the first segment that reaches d.
+    Segments and distances of a line are merged by where they end, so the work is linear in both."""
+    more = [c for c in wanted.columns if c not in ("line", "d")]
+    seg = F.struct("seq", *SEGMENT, "len", "at")
+    ends = measures.select("line", (F.col("at") + F.col("len")).alias("_pos"), F.lit(0).alias("_kind"), (-F.col("seq")).cast("long").alias("_seq"), seg.alias("_s"), F.lit(None).cast("double").alias("d"), *[F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in more])
+    asked = wanted.select("line", F.greatest(F.lit(0.0), F.col("d")).alias("_pos"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_seq"), F.lit(None).cast(ends.schema["_s"].dataType).alias("_s"), F.col("d").cast("double").alias("d"), *more)
+    back = Window.partitionBy("line").orderBy(F.col("_pos").desc(), "_kind", "_seq")
+    on = Window.partitionBy("line").orderBy(F.col("_pos"), F.col("_kind"), F.col("_seq"))
+    both = ends.unionByName(asked)
+    found = F.last("_s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last("_s", ignorenulls=True).over(on.rowsBetween(Window.unboundedPreceding, 0))  # beyond the line's end
+    hit = both.withColumn("_hit", F.coalesce(found, last)).where("_kind = 1 and _hit is not null")
+    g = lambda k: F.col(f"_hit.{k}")
+    t = F.when(g("len") > 0, F.least((F.col("_pos") - g("at")) / g("len"), F.lit(1.0))).otherwise(0.0)
+    x, y = g("x1") + (g("x2") - g("x1")) * t, g("y1") + (g("y2") - g("y1")) * t
+    return hit.select(*wanted.columns, x.alias("x"), y.alias("y"))
 
 
 def clip_range(box: tuple) -> tuple[Column, Column]:
@@ -60,6 +68,19 @@ def cells(df: DataFrame, minx: Column, miny: Column, maxx: Column, maxy: Column,
     return df.withColumn("_cy", F.explode(F.sequence(F.floor(miny / cell), F.floor(maxy / cell))))
 
 
+def cells_along(segments: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
+    """A row for each grid cell within ``pad`` of a segment, column by column: their number grows with its length, not with its
+    envelope's area. Cells that it just fails to touch may be among them."""
+    pad = pad + 1e-9 * cell
+    minx, _, maxx, _ = envelope()
+    s = segments.withColumn("_cx", F.explode(F.sequence(F.floor((minx - pad) / cell), F.floor((maxx + pad) / cell))))
+    slope = F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    at = lambda x: F.col("y1") + (F.greatest(minx, F.least(maxx, x)) - F.col("x1")) * slope
+    a, b = at(F.col("_cx") * cell - pad), at((F.col("_cx") + 1) * cell + pad)
+    low, high = F.coalesce(F.least(a, b), F.least("y1", "y2")), F.coalesce(F.greatest(a, b), F.greatest("y1", "y2"))
+    return s.withColumn("_cy", F.explode(F.sequence(F.floor((low - pad) / cell), F.floor((high + pad) / cell))))
+
+
 def envelope(pad: float = 0.0) -> tuple[Column, ...]:
     return F.least("x1", "x2") - pad, F.least("y1", "y2") - pad, F.greatest("x1", "x2") + pad, F.greatest("y1", "y2") + pad
 
@@ -75,7 +96,7 @@ def point_distance(px: Column, py: Column) -> Column:
 def nearest(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
     """The nearest segment of each point (id, px, py) within reach: id, line, distance; ties to the smaller line. A segment is in
     every cell within reach of its envelope, a point in one: an equality join on cells."""
-    s = cells(segments, *envelope(reach), reach)
+    s = cells_along(segments, reach, reach)
     p = points.withColumns({"_cx": F.floor(F.col("px") / reach), "_cy": F.floor(F.col("py") / reach)})
     d = p.join(s, ["_cx", "_cy"]).withColumn("distance", point_distance(F.col("px"), F.col("py"))).where(F.col("distance") <= reach)
     best = d.groupBy("id").agg(F.min(F.struct("distance", "line")).alias("_b"))
@@ -85,11 +106,32 @@ def nearest(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
 def crossing_boxes(boxes: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
     """Pairs of boxes (id, minx, miny, maxx, maxy) and segments that meet: the box's columns and the segment's."""
     b = cells(boxes, F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), cell)
-    s = cells(segments, *envelope(), cell)
+    s = cells_along(segments, cell)
     t0, t1 = clip_range((F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")))
     return b.join(s, ["_cx", "_cy"]).where(t0 <= t1)
 
 
+def clip_touching(segments: DataFrame, box: tuple) -> DataFrame:
+    """line: the lines that meet a box."""
+    t0, t1 = clip_range(box)
+    return segments.where(t0 <= t1).select("line").distinct()
+
+
+def meeting(edges: DataFrame, boxes: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
+    """poly, line: polygons (their edges, and boxes with poly and bounds) and lines that meet, by crossing an edge or by lying inside."""
+    pairs = crossing_boxes(boxes, segments, cell).select("poly", "line", "seq", *SEGMENT).distinct()
+    e = edges.select("poly", *[F.col(c).alias(f"e{c}") for c in SEGMENT])
+    side = lambda ax, ay, bx, by, px, py: F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
+    over = side("x1", "y1", "x2", "y2", "ex1", "ey1") * side("x1", "y1", "x2", "y2", "ex2", "ey2") <= 0
+    over &= side("ex1", "ey1", "ex2", "ey2", "x1", "y1") * side("ex1", "ey1", "ex2", "ey2", "x2", "y2") <= 0
+    over &= (F.least("ex1", "ex2") <= F.greatest("x1", "x2")) & (F.least("x1", "x2") <= F.greatest("ex1", "ex2"))
+    over &= (F.least("ey1", "ey2") <= F.greatest("y1", "y2")) & (F.least("y1", "y2") <= F.greatest("ey1", "ey2"))
+    at = F.col("ex1") + F.try_divide((F.col("y1") - F.col("ey1")) * (F.col("ex2") - F.col("ex1")), F.col("ey2") - F.col("ey1"))
+    right = ((F.col("ey1") <= F.col("y1")) != (F.col("ey2") <= F.col("y1"))) & (at > F.col("x1"))
+    hit = pairs.join(e, "poly").groupBy("poly", "line", "seq").agg(F.max(over).alias("over"), F.sum(F.coalesce(right.cast("int"), F.lit(0))).alias("n"))
+    return hit.where("over or n % 2 = 1").select("poly", "line").distinct()
+
+
 def ring_area(vertices: DataFrame) -> DataFrame:
     """Signed area of each line closed to a ring."""
     w = Window.partitionBy("line").orderBy("seq")
@@ -118,6 +160,91 @@ def near_pixels(segments: DataFrame, radius: float) -> DataFrame:
     return p.where(point_distance(F.col("c") + 0.5, F.col("r") + 0.5) <= radius).select("line", "r", "c").distinct()
 
 
+RING = "array<struct<x:double,y:double>>"
+
+
+def _side(axis: str, bound: float, sign: int):
+    """What of an edge from p to q a side of a box leaves: none to two points."""
+    other = "y" if axis == "x" else "x"
+
+    def cut(p: Column, q: Column) -> Column:
+        along = p[other] + (q[other] - p[other]) * F.try_divide(F.lit(bound) - p[axis], q[axis] - p[axis])
+        x, y = (F.lit(bound), along) if axis == "x" else (along, F.lit(bound))
+        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    def step(q: Column, p: Column) -> Column:
+        inside = lambda v: (v[axis] - bound) * sign >= 0
+        none = F.array().cast(RING)
+        return F.when(inside(q), F.when(inside(p), F.array(q)).otherwise(F.array(cut(p, q), q))).otherwise(F.when(inside(p), F.array(cut(p, q))).otherwise(none))
+
+    return step
+
+
+def _cut_by(axis: str, bound: float, sign: int):
+    step = _side(axis, bound, sign)
+
+    def cut(ring: Column) -> Column:
+        before = F.concat(F.slice(ring, F.size(ring) - 1, 1), F.slice(ring, 1, F.size(ring) - 2))  # of an open ring each point's predecessor
+        open_ = F.slice(ring, 1, F.size(ring) - 1)
+        closed = F.transform(F.array(F.flatten(F.zip_with(open_, before, step))), lambda c: F.when(F.size(c) >= 3, F.concat(c, F.slice(c, 1, 1))).otherwise(F.array().cast(RING)))
+        return F.when(F.size(ring) >= 4, F.get(closed, F.lit(0))).otherwise(F.array().cast(RING))
+
+    return cut
+
+
+def clip_ring(ring: Column, box: tuple[float, float, float, float]) -> Column:
+    """A closed ring (array of points) inside a box, closed again; empty if it is outside. The box's four sides cut it one after
+    the other. Parts of a ring that leaves and comes back stay joined along the border, which adds no area."""
+    minx, miny, maxx, maxy = map(float, box)
+    for axis, bound, sign in (("x", minx, 1), ("x", maxx, -1), ("y", miny, 1), ("y", maxy, -1)):
+        ring = F.get(F.transform(F.array(ring), _cut_by(axis, bound, sign)), F.lit(0))  # binds the ring, which is used many times
+    return ring
+
+
+def ring_edges(polygons: DataFrame, key: str = "poly", rings: str = "rings") -> DataFrame:
+    """poly, x1 .. y2: the edges of all rings of polygons; even-odd, holes need no winding of their own."""
+    pairs = F.flatten(F.transform(rings, lambda g: F.zip_with(F.slice(g, 1, F.greatest(F.size(g) - 1, F.lit(0))), F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))))
+    return polygons.select(F.col(key).alias("poly"), F.explode(pairs).alias("e")).select("poly", "e.*")
+
+
+def line_segments(lines: DataFrame, key: str = "line", geom: str = "geom") -> DataFrame:
+    """line, seq (from 1), x1 .. y2 of lines held as arrays of points."""
+    pairs = F.zip_with(F.slice(geom, 1, F.greatest(F.size(geom) - 1, F.lit(0))), F.slice(geom, 2, F.greatest(F.size(geom) - 1, F.lit(0))), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+    return lines.select(F.col(key).alias("line"), F.posexplode(pairs).alias("seq", "e")).select("line", (F.col("seq") + 1).alias("seq"), "e.*")
+
+
+def touched_pixels(segments: DataFrame, half: str = "half") -> DataFrame:
+    """line, r, c: the pixels whose squares a buffer of lines touches, each once per line: flat at the lines' ends, round where
+    segments meet. Segments (line, part, seq, x1 .. y2, ``half``: the buffer's half width) are in pixels, y downwards; segments of
+    one part that follow each other by ``seq`` meet. Row by row the buffer's greatest extent gives its pixels, so their number
+    grows with the buffer's area."""
+    h = F.col(half)
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    n = F.sqrt(dx * dx + dy * dy)
+    s = segments.where(n > 0).withColumns({"_ox": -dy / n * h, "_oy": dx / n * h})
+    corner = lambda x, y, sign: F.struct((F.col(x) + F.col("_ox") * sign).alias("x"), (F.col(y) + F.col("_oy") * sign).alias("y"))
+    s = s.select("line", F.array(corner("x1", "y1", 1), corner("x2", "y2", 1), corner("x2", "y2", -1), corner("x1", "y1", -1)).alias("q"))
+    ys = F.transform("q", lambda p: p["y"])
+    s = s.withColumn("r", F.explode(F.sequence(F.floor(F.array_min(ys)).cast("int"), F.floor(F.array_max(ys)).cast("int"))))
+    top, bottom = F.col("r").cast("double"), F.col("r") + 1.0
+
+    def at(p: Column, q: Column, y: Column) -> Column:
+        between = (F.least(p["y"], q["y"]) <= y) & (y <= F.greatest(p["y"], q["y"]))
+        return F.when(between, p["x"] + (q["x"] - p["x"]) * F.try_divide(y - p["y"], q["y"] - p["y"]))
+
+    inside = F.transform("q", lambda p: F.when((p["y"] >= top) & (p["y"] <= bottom), p["x"]))
+    turned = F.concat(F.slice("q", 2, 3), F.slice("q", 1, 1))
+    xs = F.concat(inside, F.zip_with("q", turned, lambda p, q: at(p, q, top)), F.zip_with("q", turned, lambda p, q: at(p, q, bottom)))
+    bands = s.select("line", "r", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"))
+    joint = Window.partitionBy("line", "part").orderBy("seq")
+    ends = segments.where(n > 0).withColumn("_next", F.lead("seq").over(joint)).where("_next is not null").select("line", F.col("x2").alias("x"), F.col("y2").alias("y"), h.alias("_h"))
+    ends = ends.withColumn("r", F.explode(F.sequence(F.floor(F.col("y") - F.col("_h")).cast("int"), F.floor(F.col("y") + F.col("_h")).cast("int"))))
+    off = F.greatest(F.lit(0.0), F.col("r") - F.col("y"), F.col("y") - F.col("r") - 1)
+    wide = F.sqrt(F.greatest(F.lit(0.0), F.col("_h") * F.col("_h") - off * off))
+    bands = bands.unionByName(ends.where(off <= F.col("_h")).select("line", "r", (F.col("x") - wide).alias("x0"), (F.col("x") + wide).alias("x1")))
+    return bands.where("x0 is not null").select("line", "r", F.explode(F.sequence(F.floor("x0").cast("int"), F.floor("x1").cast("int"))).alias("c")).distinct()
+
+
 def crossings(segments: DataFrame, box: tuple[float, float, float, float], step: float) -> DataFrame:
     """Where lines cross a box's border, told as in or out by the line's points ``step`` before and after; others are dropped."""
     minx, miny, maxx, maxy = (F.lit(float(b)) for b in box)

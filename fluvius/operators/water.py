@@ -12,10 +12,10 @@ SMOOTH = 120.0  # metres over which a polygon's surface is smoothed
 LEAST_SHARE = 0.7  # of a channel's depth at its banks
 
 
-def _bank_distance(df: DataFrame, water: str, reach: int) -> DataFrame:
-    """r, c, px: pixels to the nearest dry pixel of the raster; ``reach`` where there is none so near."""
-    near = nearest_distance(df.select("r", "c", "z", (~F.col(water)).alias("_dry")), "_dry", reach)
-    return near.select("r", "c", F.sqrt(F.coalesce(F.col("d2").cast("double"), F.lit(float(reach * reach)))).alias("px"))
+def _bank_distance(df: DataFrame, water: str) -> DataFrame:
+    """r, c, px: pixels to the nearest dry pixel of the raster, NULL without any."""
+    near = nearest_distance(df.select("r", "c", "z", (~F.col(water)).alias("_dry")), "_dry")
+    return near.select("r", "c", F.sqrt(F.col("d2").cast("double")).alias("px"))
 
 
 def layers(dem: DataFrame, polygons: DataFrame, lines: DataFrame, mpp: float) -> DataFrame:
@@ -32,15 +32,12 @@ def layers(dem: DataFrame, polygons: DataFrame, lines: DataFrame, mpp: float) ->
     d = d.withColumn("polygon", F.coalesce(F.col("pd") > 0, F.lit(False)))
     d = d.withColumn("line", F.coalesce(F.col("ld") > 0, F.lit(False)) & ~F.col("polygon")).withColumn("mask", F.col("polygon") | F.col("line"))
 
-    reach = int(BANK // mpp) + 1
-    bank = _bank_distance(d, "polygon", reach).withColumnRenamed("px", "bank")
-    # a channel's profile is full at half its width: nothing beyond the greatest is needed
-    half = n.agg(F.coalesce(F.ceil(F.max("half")), F.lit(1))).first()[0]
-    shore = _bank_distance(d, "mask", int(half) + 1).withColumnRenamed("px", "shore")
+    bank = _bank_distance(d, "polygon").withColumnRenamed("px", "bank")
+    shore = _bank_distance(d, "mask").withColumnRenamed("px", "shore")
     smooth = masked_mean(d.select("r", "c", "z", F.col("polygon").alias("m")), max(3, round(SMOOTH / mpp) | 1))
     d = d.join(bank, ["r", "c"]).join(shore, ["r", "c"]).join(smooth, ["r", "c"])
 
-    root = lambda a: F.sqrt(F.least(a, F.lit(1.0)))
+    root = lambda a: F.sqrt(F.least(F.coalesce(a, F.lit(1.0)), F.lit(1.0)))
     depth: Column = F.when(F.col("polygon"), F.col("pd") * root(F.col("bank") * mpp / BANK))
     depth = depth.when(F.col("line"), F.col("ld") * F.greatest(root(F.col("shore") / F.col("half")), F.lit(LEAST_SHARE))).otherwise(0.0)
     surface = F.when(F.col("polygon"), F.least("z", "mean")).when(F.col("line"), F.col("z"))

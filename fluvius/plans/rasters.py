@@ -195,16 +195,47 @@ def burn_channels(spark: SparkSession, d: str) -> DataFrame:
     return holes(spark, d).select("r", "c", G.burn(F.col("z"), F.col("m"), F.when(F.col("z").isNotNull(), F.lit(200.0)), F.lit(12.0)).alias("z"))
 
 
-@query(f"with {HOLES}, a as (select * from holes where m or z is null) select h.r, h.c, min((h.r - a.r) * (h.r - a.r) + (h.c - a.c) * (h.c - a.c))::bigint d2, round(sqrt(least(coalesce(sqrt(min((h.r - a.r) * (h.r - a.r) + (h.c - a.c) * (h.c - a.c))) * 3.5::double / 60, 1), 1)), 6) taper from holes h left join (select * from holes where not m) a on a.r between h.r - 18 and h.r + 18 and a.c between h.c - 18 and h.c + 18 group by 1, 2")
+_NEAR = "(h.r - a.r) * (h.r - a.r) + (h.c - a.c) * (h.c - a.c)"
+
+
+@query(f"with {HOLES}, t as (select h.r, h.c, min({_NEAR})::bigint d2 from holes h join (select * from holes where not m) a on true group by 1, 2) select r, c, d2, round(sqrt(least(sqrt(d2) * 3.5::double / 60, 1)), 6) taper from t")
 def edt_taper(spark: SparkSession, d: str) -> DataFrame:
-    """Squared distance to the nearest pixel off the mask, within the taper's reach, and the bank profile."""
+    """Squared distance to the nearest pixel off the mask, and the bank profile."""
     t = holes(spark, d).withColumn("off", ~F.col("m"))
-    return G.nearest_distance(t, "off", 18).where("d2 is not null and d2 <= 18 * 18 * 2").select("r", "c", "d2", F.round(G.taper(F.col("d2"), MPP, 60.0), 6).alias("taper"))
+    return G.nearest_distance(t, "off").select("r", "c", "d2", F.round(G.taper(F.col("d2"), MPP, 60.0), 6).alias("taper"))
+
+
+def _fill(src: str) -> str:
+    return f"select h.r, h.c, coalesce(h.z, min_by(a.z, ({_NEAR}) * 1000000000::bigint + a.r * 100 + a.c)) z, h.z is null filled from {src} h left join (select * from {src} where z is not null) a on h.z is null group by h.r, h.c, h.z"
 
 
-@query(f"with {HOLES} select h.r, h.c, coalesce(h.z, min_by(a.z, ((h.r - a.r) * (h.r - a.r) + (h.c - a.c) * (h.c - a.c)) * 1000000000::bigint + a.r * 100 + a.c)) z, h.z is null filled from holes h left join (select * from holes where z is not null) a on h.z is null and a.r between h.r - 16 and h.r + 16 and a.c between h.c - 16 and h.c + 16 group by h.r, h.c, h.z")
+@query(f"with {HOLES} {_fill('holes')}")
 def fill_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return G.fill_nodata(holes(spark, d), 16)
+    return G.fill_nodata(holes(spark, d))
+
+
+_VOID = HOLES + ", void as (select r, c, m, case when r % 97 > 4 and c between 8 and 88 then null else z end z from holes)"
+
+
+def _void(spark: SparkSession, d: str) -> DataFrame:
+    """The raster with voids of 81 columns and 92 rows."""
+    return holes(spark, d).withColumn("z", F.when((F.col("r") % 97 > 4) & F.col("c").between(8, 88), F.lit(None)).otherwise(F.col("z")))
+
+
+@query(f"with {_VOID} {_fill('void')}")
+def fill_wide_void(spark: SparkSession, d: str) -> DataFrame:
+    return G.fill_nodata(_void(spark, d))
+
+
+@query(f"with {_VOID}, f as ({_fill('void')}) select round(avg(filled::int), 9) \"share\" from f")
+def filled_share(spark: SparkSession, d: str) -> DataFrame:
+    return G.filled_share(G.fill_nodata(_void(spark, d))).select(_r("share", 9))
+
+
+@query(f"with {_VOID}, t as (select h.r, h.c, min({_NEAR})::bigint d2 from void h join (select * from void where z is not null) a on true group by 1, 2) select * from t")
+def distance_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Squared distances to the nearest valid pixel across wide voids."""
+    return G.nearest_distance(_void(spark, d).withColumn("ok", F.col("z").isNotNull()), "ok").select("r", "c", "d2")
 
 
 @query(f"""with recursive {HOLES}, n as (select r * 100 + c id from holes where m), e as (select a.id a, b.id b from n a join n b on b.id = a.id + 100 or (b.id = a.id + 1 and b.id % 100 <> 0)), s as (select a, b from e union all select b, a from e),

@@ -110,7 +110,7 @@ def region_code(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with p as (select p_partkey k, p_size / 5::double n, 3.5::double t, case when p_size % 4 = 0 then cast(p_size % 3 + 1 as int) end f from part)
-select k, case when f > 1 then 'oversample-forced' when f = 1 then 'direct' when n <= t / 2 then 'oversample' when n <= t then 'direct-bilinear' else 'cubic-spline' end "name",
+select k, case when f > 1 then 'oversample-forced' when f = 1 then 'direct' when n <= t / 2 then 'fetch-fine-then-block-average' when n <= t then 'direct-bilinear' else 'upsample-cubic-spline' end "name",
 case when f > 1 then f when f = 1 then 1 when n <= t / 2 then 2 else 1 end factor, case when f > 1 then t / f when f = 1 then t when n <= t / 2 then t / 2 else t end res,
 case when n > t then 'cubic_spline' when n > t / 2 then 'bilinear' else 'average' end kernel from p""")
 def resample_policy(spark: SparkSession, d: str) -> DataFrame:

@@ -29,7 +29,7 @@ def test_block_mean_ignores_nodata(spark):
 
 def test_fill_takes_a_nearest_value(spark):
     n = np.nan
-    out = grid.fill_nodata(ras(spark, [[1, n, 3], [n, n, n], [7, n, 9]]), 4)
+    out = grid.fill_nodata(ras(spark, [[1, n, 3], [n, n, n], [7, n, 9]]))
     got = back(out)
     assert got[0, 1] in (1, 3) and got[1, 0] in (1, 7) and out.where("filled").count() == 5
 
@@ -68,7 +68,7 @@ def test_distance_and_components(spark):
     rng = np.random.default_rng(2)
     m = rng.random((15, 17)) < 0.5
     df = spark.createDataFrame([(i, j, 1.0, bool(m[i, j])) for i in range(15) for j in range(17)], "r int, c int, z double, m boolean")
-    got = back(grid.nearest_distance(df.withColumn("off", ~F.col("m")), "off", 20), "d2")
+    got = back(grid.nearest_distance(df.withColumn("off", ~F.col("m")), "off"), "d2")
     off = np.argwhere(~m)
     want = np.array([[((off - [i, j]) ** 2).sum(1).min() for j in range(17)] for i in range(15)])
     assert np.array_equal(got, want)

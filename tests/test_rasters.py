@@ -77,9 +77,9 @@ def test_fill_nodata_at_any_distance(spark):
     rows = [(r, c, None if np.isnan(z[r, c]) else float(z[r, c])) for r in range(60) for c in range(70)]
     valid = sorted((r, c) for r, c, v in rows if v is not None)
     at = np.array(valid)
-    for x in grid.fill_nodata(spark.createDataFrame(rows, schema), 4).collect():
+    for x in grid.fill_nodata(spark.createDataFrame(rows, schema)).collect():
         r, c = valid[int(np.argmin(((at - (x.r, x.c)) ** 2).sum(1)))]
         assert x.z == z[r, c] and x.filled == np.isnan(z[x.r, x.c])
-    with pytest.raises(ValueError):
-        grid.fill_nodata(spark.createDataFrame([(0, 0, None), (0, 1, None)], schema), 4)
-    assert not grid.fill_nodata(spark.createDataFrame([(0, 0, 1.0)], schema), 4).first().filled
+    with pytest.raises(Exception, match="entirely nodata"):
+        grid.fill_nodata(spark.createDataFrame([(0, 0, None), (0, 1, None)], schema)).collect()
+    assert not grid.fill_nodata(spark.createDataFrame([(0, 0, 1.0)], schema)).first().filled
