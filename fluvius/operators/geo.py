@@ -63,6 +63,34 @@ def square(cx: Column, cy: Column, side: float) -> Column:
     return F.struct((cx - h).alias("minx"), (cy - h).alias("miny"), (cx + h).alias("maxx"), (cy + h).alias("maxy"))
 
 
+def sites(places: DataFrame) -> DataFrame:
+    """Adds epsg, cx, cy (the centre in metres) and the playable and world squares to places (lon, lat); a place beyond the zones is
+    an error."""
+    out = F.raise_error(F.lit("the place is outside of the zones")).cast("int")
+    d = places.withColumn("epsg", F.coalesce(utm_zone(F.col("lon"), F.col("lat")), out))
+    x, y = to_utm(F.col("lon"), F.col("lat"), F.col("epsg"))
+    d = d.withColumns({"cx": x, "cy": y})
+    return d.withColumns({"playable": square(F.col("cx"), F.col("cy"), PLAYABLE_M), "world": square(F.col("cx"), F.col("cy"), WORLD_M)})
+
+
+def centre(west: Column, south: Column, east: Column, north: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a box's middle, all that counts of it; its sides must be in order."""
+    ok = (west < east) & (south < north)
+    wrong = F.raise_error(F.lit("a box must be west, south, east, north in degrees")).cast("double")
+    return F.when(ok, (west + east) / 2).otherwise(wrong), F.when(ok, (south + north) / 2).otherwise(wrong)
+
+
+def degrees(box: Column, epsg: Column, pad: float = 0.0) -> Column:
+    """The envelope in degrees of a box's corners."""
+    corners = [from_utm(box[x], box[y], epsg) for x in ("minx", "maxx") for y in ("miny", "maxy")]
+    lon, lat = ([c[k] for c in corners] for k in (0, 1))
+    return F.struct((F.least(*lon) - pad).alias("minx"), (F.least(*lat) - pad).alias("miny"), (F.greatest(*lon) + pad).alias("maxx"), (F.greatest(*lat) + pad).alias("maxy"))
+
+
+def box_text(box: Column, digits: int = 3) -> Column:
+    return F.concat_ws(",", *[F.format_string(f"%.{digits}f", F.bround(box[k], digits)) for k in ("minx", "miny", "maxx", "maxy")])
+
+
 def pixel(x: Column, y: Column, minx: Column, maxy: Column, mpp: float, size: int = PIXELS) -> tuple[Column, Column]:
     """Column and row of a point, clamped to the grid."""
     top = F.lit(size - 1)

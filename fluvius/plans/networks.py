@@ -109,25 +109,26 @@ def water_proposal(spark: SparkSession, d: str) -> DataFrame:
     return proposal.propose(lines, segments, polygons, edges, pixels, proposal.Border((0, 0, 10_000, 10_000), 100.0, 100)).select("kind", "key", "c", "r", "level", "label")
 
 
-_KIND = "['water.border_river_in', 'water.border_river_out', 'water.stream', 'water.lake', 'water.border_sea']"
-_PLACED = f"placed as (select c_custkey id, c_nationkey doc, {_KIND}[c_custkey % 5 + 1] kind, cast(c_custkey * 37 % 4096 as int) r, cast(c_custkey * 53 % 4096 as int) c, c_name label from customer)"
+_KIND = "[" + ", ".join(f"'{k}'" for k, _, _ in P.KINDS) + "]"
+_PLACED = f"placed as (select c_custkey id, c_nationkey doc, {_KIND}[c_custkey % {len(P.KINDS)} + 1] kind, cast(c_custkey * 37 % 4096 as int) r, cast(c_custkey * 53 % 4096 as int) c, c_name label from customer)"
+_GROUP = "case kind " + " ".join(f"when '{k}' then {g}" for k, _, g in P.KINDS) + " end"
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     kinds = F.array(*[F.lit(x[0]) for x in P.KINDS])
-    return table(spark, d, "customer").select(k.alias("id"), F.col("c_nationkey").alias("doc"), F.element_at(kinds, (k % 5 + 1).cast("int")).alias("kind"), (k * 37 % 4096).cast("int").alias("r"), (k * 53 % 4096).cast("int").alias("c"), F.col("c_name").alias("label"))
+    return table(spark, d, "customer").select(k.alias("id"), F.col("c_nationkey").alias("doc"), F.element_at(kinds, (k % len(P.KINDS) + 1).cast("int")).alias("kind"), (k * 37 % 4096).cast("int").alias("r"), (k * 53 % 4096).cast("int").alias("c"), F.col("c_name").alias("label"))
 
 
-@query(f"with {_PLACED} select doc, id, cast(row_number() over (partition by doc order by kind, r, c, id) as int) number, kind from placed")
+@query(f"with {_PLACED} select doc, id, cast(row_number() over (partition by doc order by {_GROUP}, kind, r, c, id) as int) number, kind from placed")
 def placements_sorted(spark: SparkSession, d: str) -> DataFrame:
     return P.numbered(_placed(spark, d)).select("doc", "id", "number", "kind")
 
 
-_LABELS = "case kind when 'water.border_river_in' then 'River inflow' when 'water.border_river_out' then 'River outflow' when 'water.stream' then 'Stream source' when 'water.lake' then 'Lake' else 'Sea' end"
+_LABELS = "case kind " + " ".join(f"when '{k}' then '{label}'" for k, label, _ in P.KINDS) + " end"
 
 
-@query(f"with {_PLACED}, n as (select *, row_number() over (partition by doc order by kind, r, c, id) number from placed) select doc, string_agg('| ' || number || ' | ' || {_LABELS} || ' | ' || label || ' | ' || c || ', ' || r || ' |', chr(10) order by number) \"table\" from n group by doc")
+@query(f"with {_PLACED}, n as (select *, row_number() over (partition by doc order by {_GROUP}, kind, r, c, id) number from placed) select doc, string_agg('| ' || number || ' | ' || {_LABELS} || ' | ' || label || ' | ' || c || ', ' || r || ' |', chr(10) order by number) \"table\" from n group by doc")
 def placements_markdown(spark: SparkSession, d: str) -> DataFrame:
     return P.markdown(P.numbered(_placed(spark, d)))
 
