@@ -142,6 +142,11 @@ def hillshade(df: DataFrame, mpp: float, exaggeration: float = 2.0, azimuth: flo
     return g.withColumn("shade", F.greatest(F.lit(0.0), (nx * lx + ny * ly + lz) / F.sqrt(nx * nx + ny * ny + 1)))
 
 
+def tinted(shade: Column, water: Column, share: float = 0.35, light: float = 0.65) -> Column:
+    """Shades with water told from land: a share of the shade and a light of its own."""
+    return F.when(water, shade * share + light).otherwise(shade)
+
+
 def terracing(df: DataFrame, step: float = 1.0) -> DataFrame:
     """Share of non-zero heights that are multiples of a step, within 1 %; 0 without any. All pixels count."""
     q = F.col("z") / step

@@ -18,13 +18,20 @@ def latest(runs: DataFrame, keep: int = 1) -> DataFrame:
 
 def drift(runs: DataFrame) -> DataFrame:
     """The newest run of each slug against the one before: what changed beyond the limits (buildable by more than 2 points, scale or
-    source count at all, seam more than twofold and above 0.2)."""
+    source count at all, seam more than twofold and above 0.2, where terrain or water come from). Of runs that failed (column
+    ``failed``, if any) only that counts."""
     last = latest(runs, 2)
     new, old = last.where("back = 1").alias("n"), last.where("back = 2").alias("o")
     n, o = (lambda c: F.col(f"n.{c}")), (lambda c: F.col(f"o.{c}"))
     what = F.array_compact(F.array(
         F.when(F.abs(n("buildable") - o("buildable")) > 0.02, "buildable"), F.when(n("scale") != o("scale"), "scale"),
         F.when(n("sources") != o("sources"), "sources"), F.when((n("seam") > 2 * o("seam")) & (n("seam") > 0.2), "seam")))
+    for c in ("dem_source", "hydro_source"):
+        if c in runs.columns:
+            what = F.array_compact(F.concat(what, F.array(F.when(~n(c).eqNullSafe(o(c)), c))))
+    if "failed" in runs.columns:
+        a, b = F.coalesce(n("failed"), F.lit(False)), F.coalesce(o("failed"), F.lit(False))
+        what = F.when(a | b, F.array_compact(F.array(F.when(a & ~b, "failed").when(b & ~a, "now builds")))).otherwise(what)
     return new.join(old, F.col("n.slug") == F.col("o.slug")).select(n("slug").alias("slug"), what.alias("drift"))
 
 
@@ -36,6 +43,13 @@ def check(runs: DataFrame, ranges: DataFrame, metrics: list[str]) -> DataFrame:
     return ranges.join(long, ["slug", "metric"]).where(F.coalesce(F.col("value") < F.col("lo"), F.lit(False)) | F.coalesce(F.col("value") > F.col("hi"), F.lit(False)) | F.coalesce(bad, F.lit(False))).select("slug", "metric", "value")
 
 
+def seeded(runs: DataFrame, known: DataFrame, force: bool = False) -> DataFrame:
+    """``expected`` for the sites without ranges yet (``known``: slug), or all with ``force``; not of runs that failed."""
+    last = latest(runs, 1).drop("back")
+    last = last.where(~F.coalesce("failed", F.lit(False))) if "failed" in runs.columns else last
+    return expected(last if force else last.join(known.select("slug"), "slug", "left_anti"))
+
+
 def expected(runs: DataFrame) -> DataFrame:
     """Ranges around each slug's newest run."""
     b, s, w, k, m = (F.col(c) for c in ("buildable", "scale", "water", "sources", "seam"))
