@@ -149,10 +149,11 @@ def zonal_percentile(spark: SparkSession, d: str) -> DataFrame:
     return raster(spark, d).groupBy("kind").agg(p.alias("p"), F.count("*").alias("n")).select("kind", F.round(F.col("p")[0], 2).alias("p10"), F.round(F.col("p")[1], 2).alias("p90"), F.round(F.col("p")[2], 2).alias("p50"), "n")
 
 
-@query(f"with {HOLES}, p as (select s_suppkey k, cast(s_suppkey % 90 as int) pr, cast(s_suppkey * 7 % 100 as int) pc from supplier) select k, round(coalesce(median(case when m then z end), min(z)), 6) lvl from p join holes on r between pr - 12 and pr + 12 and c between pc - 12 and pc + 12 group by k")
+@query(f"with {HOLES}, p as (select s_suppkey k, cast(s_suppkey * 13 % h as int) pr, cast(s_suppkey * 7 % 100 as int) pc from supplier, (select max(r) + 1 h from holes)) select k, round(coalesce(median(case when m then z end), min(z)), 6) lvl from p join holes on r between pr - 12 and pr + 12 and c between pc - 12 and pc + 12 group by k")
 def median_window_sample(spark: SparkSession, d: str) -> DataFrame:
     """Level at a point: the median of water pixels in its 25 x 25 window, else the lowest pixel; offsets are an equality join."""
-    p = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 90).cast("int").alias("pr"), (F.col("s_suppkey") * 7 % 100).cast("int").alias("pc"))
+    rows = F.broadcast(holes(spark, d).agg((F.max("r") + 1).alias("h")))
+    p = spark.read.parquet(f"{d}/supplier.parquet").crossJoin(rows).select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") * 13 % F.col("h")).cast("int").alias("pr"), (F.col("s_suppkey") * 7 % 100).cast("int").alias("pc"))
     near = p.withColumn("r", F.explode(F.expr("sequence(pr - 12, pr + 12)"))).withColumn("c", F.explode(F.expr("sequence(pc - 12, pc + 12)")))
     return near.join(holes(spark, d), ["r", "c"]).groupBy("k").agg(F.round(F.coalesce(F.median(F.when(F.col("m"), F.col("z"))), F.min("z")), 6).alias("lvl"))
 
@@ -255,10 +256,11 @@ def cross_section(spark: SparkSession, d: str) -> DataFrame:
     return G.cross_section(raster(spark, d), "c", 48).select("r", "c", "z")
 
 
-@query(f"with {RAS}, p as (select k, x, y, x - 0.5 fx, y - 0.5 fy from (select s_suppkey k, (s_suppkey * 0.731::double) % 98 + 1 x, (s_suppkey * 0.377::double) % 8 + 1 y from supplier)), q as (select *, floor(fx)::int c0, floor(fy)::int r0 from p) select k, round(sum(z * (case when c = c0 then 1 - (fx - c0) else fx - c0 end) * (case when r = r0 then 1 - (fy - r0) else fy - r0 end)) / sum((case when c = c0 then 1 - (fx - c0) else fx - c0 end) * (case when r = r0 then 1 - (fy - r0) else fy - r0 end)), 6) z from q join ras on r in (r0, r0 + 1) and c in (c0, c0 + 1) group by k")
+@query(f"with {RAS}, p as (select k, x, y, x - 0.5 fx, y - 0.5 fy from (select s_suppkey k, (s_suppkey * 0.731::double) % 98 + 1 x, (s_suppkey * 13.377::double) % (h - 2) + 1 y from supplier, (select max(r) + 1 h from ras))), q as (select *, floor(fx)::int c0, floor(fy)::int r0 from p) select k, round(sum(z * (case when c = c0 then 1 - (fx - c0) else fx - c0 end) * (case when r = r0 then 1 - (fy - r0) else fy - r0 end)) / sum((case when c = c0 then 1 - (fx - c0) else fx - c0 end) * (case when r = r0 then 1 - (fy - r0) else fy - r0 end)), 6) z from q join ras on r in (r0, r0 + 1) and c in (c0, c0 + 1) group by k")
 def resample_bilinear(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    p = spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("k"), (k * 0.731 % 98 + 1).alias("x"), (k * 0.377 % 8 + 1).alias("y"))
+    rows = F.broadcast(raster(spark, d).agg((F.max("r") + 1).alias("h")))
+    p = spark.read.parquet(f"{d}/supplier.parquet").crossJoin(rows).select(k.alias("k"), (k * 0.731 % 98 + 1).alias("x"), (k * 13.377 % (F.col("h") - 2) + 1).alias("y"))
     return G.bilinear(raster(spark, d), F.col("x"), F.col("y"), p).select("k", _r("z"))
 
 
