@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from fluvius.operators import geo, rings, water
 from fluvius.operators import vector as V
+from fluvius.session import write_table
 
 #: Feature types that are open water, as bodies and as areas (fixed values).
 BODY_TYPES, AREA_TYPES = (390, 436, 493), (460, 445, 312, 336)
@@ -127,10 +128,12 @@ def build(dem: DataFrame, grid: Grid, flow: DataFrame, areas: DataFrame, bodies:
     lines = open_lines(flow)
     segments = clipped_segments(lines, grid)
     polygons = clipped_polygons(areas, bodies, grid)
-    polygons = sized(polygons, through(polygons, segments, lines), depth_scale)
-    inside = polygon_pixels(polygons, grid)
+    # what several steps read is written once
+    polygons = write_table(sized(polygons, through(polygons, segments, lines), depth_scale), "polygons")
+    inside = write_table(polygon_pixels(polygons, grid), "inside")
     deep = inside.join(polygons.select(F.col("key").alias("poly"), "depth"), "poly").select("r", "c", "depth")
-    made = water.layers(dem, deep, channel_pixels(lines, segments, grid, depth_scale), grid.mpp)
+    channels = write_table(channel_pixels(lines, segments, grid, depth_scale), "channels")
+    made = water.layers(dem, deep, channels, grid.mpp)
     return made, report(polygons, inside, dem)
 
 

@@ -145,3 +145,20 @@ def test_components_of_a_chain_a_star_and_nothing(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (None, 3)], "src int, dst int")
     assert {r.node: r.component for r in graph.components(edges).collect()} == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 120)}
     assert graph.components(edges.where("src > 1000")).count() == 0
+
+
+def test_drift_by_source_and_failure(spark):
+    schema = "slug string, seq int, buildable double, scale double, sources int, seam double, water double, dem_source string, failed boolean"
+    rows = [("a", 1, 0.5, 300.0, 3, 0.1, 0.1, "x", False), ("a", 2, 0.5, 300.0, 3, 0.1, 0.1, "y", False), ("b", 1, 0.5, 300.0, 3, 0.1, 0.1, "x", False), ("b", 2, None, None, None, None, None, None, True), ("c", 1, 0.1, 1.0, 1, 0.1, 0.1, "x", True), ("c", 2, 0.9, 9.0, 9, 9.0, 0.1, "x", False)]
+    runs = spark.createDataFrame(rows, schema)
+    assert {r.slug: r.drift for r in history.drift(runs).collect()} == {"a": ["dem_source"], "b": ["failed"], "c": ["now builds"]}
+    known = spark.createDataFrame([("a",)], "slug string")
+    assert [r.slug for r in history.seeded(runs, known).collect()] == ["c"]
+    assert sorted(r.slug for r in history.seeded(runs, known, force=True).collect()) == ["a", "c"]
+
+
+def test_vertical_plan_with_a_given_sea_level(spark):
+    df = spark.createDataFrame([(136.0, 727.0, 193.0)], "lo double, hi double, ws double")
+    assert grid.plan_vertical(df, sea_level=100.0).first().sea == 100.0
+    with pytest.raises(Exception, match="too low"):
+        grid.plan_vertical(df, sea_level=10.0).collect()
