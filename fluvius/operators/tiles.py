@@ -117,6 +117,21 @@ def window_range(a: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
+def distance_within(target: np.ndarray, reach: int) -> np.ndarray:
+    """Distance of each pixel to the nearest target, exact up to ``reach``; what lies farther may come out too far, up to infinity."""
+    r = np.broadcast_to(np.arange(target.shape[0], dtype=float)[:, None], target.shape)
+    up = np.maximum.accumulate(np.where(target, r, -np.inf), axis=0)
+    down = np.minimum.accumulate(np.where(target, r, np.inf)[::-1], axis=0)[::-1]
+    own = np.minimum(r - up, down - r) ** 2
+    best = own.copy()
+    for dx in range(1, min(reach + 1, target.shape[1])):
+        if dx * dx > best.max():
+            break
+        np.minimum(best[:, dx:], own[:, :-dx] + dx * dx, out=best[:, dx:])
+        np.minimum(best[:, :-dx], own[:, dx:] + dx * dx, out=best[:, :-dx])
+    return np.sqrt(best)
+
+
 def nearest_in_columns(a: Arrays) -> Arrays:
     """tr, tz: row and value of the nearest target pixel of each column, the upper one on a tie."""
     r = np.broadcast_to(a["r"].astype(float), a["t"].shape)
