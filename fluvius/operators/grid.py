@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
 from fluvius.operators import tiles
@@ -211,6 +213,31 @@ def bilinear(df: DataFrame, x: Column, y: Column, points: DataFrame) -> DataFram
     return p.join(df.select("r", "c", "z"), ["r", "c"]).where(F.col("z").isNotNull()).groupBy(*points.columns).agg((F.sum(F.col("z") * F.col("_w")) / F.sum("_w")).alias("z"))
 
 
+def window_level(df: DataFrame, points: DataFrame, half: int) -> DataFrame:
+    """pr, pc, lvl: the level at each place (pr, pc) of ``points``, the median of the pixels of the mask ``m`` in the window of
+    ``half`` pixels around it, else the lowest pixel. A place without any pixel near it is left out."""
+
+    def kernel(px: pa.Table, of: pa.Table, at: np.ndarray, points: np.ndarray) -> pa.Table:
+        known, wet = px["z"].is_valid().to_numpy(), px["m"].fill_null(False).to_numpy()
+        z = px["z"].to_numpy()
+        level, there = np.full(len(points[0]), np.nan), np.zeros(len(points[0]), bool)
+        found = np.zeros(len(points[0]), bool)
+        for on, what in ((np.ones(len(z), bool), "any"), (known, "least"), (known & wet, "median")):
+            for some, v, begin in tiles.window_values(z[on], at[:, on], points, half):
+                n = np.diff(begin)
+                if what == "any":
+                    there[some] = n > 0
+                    continue
+                s, n = begin[:-1][n > 0], n[n > 0]
+                i = np.flatnonzero(np.diff(begin)) + some.start
+                level[i] = v[s] if what == "least" else 0.5 * v[s + (n - 1) // 2] + 0.5 * v[s + n // 2]
+                found[i] = True
+        return pa.table({"pr": of["pr"], "pc": of["pc"], "lvl": pa.array(level, pa.float64(), mask=~found)}).filter(pa.array(there))
+
+    places = points.select("pr", "pc", F.col("pr").alias("_r"), F.col("pc").alias("_c")).distinct()
+    return tiles.near_points(df, places, half, kernel, ["z", "m"], StructType([StructField("pr", IntegerType()), StructField("pc", IntegerType()), StructField("lvl", DoubleType())]))
+
+
 def nearest_distance(df: DataFrame, target: str) -> DataFrame:
     """For each pixel the squared distance (d2, in pixels) to the nearest pixel where ``target`` holds, at any distance, and that
     pixel's z; NULL where the raster has no such pixel. Ties to the smaller row, then column. Two passes: the nearest within each

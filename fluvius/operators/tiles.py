@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 TILE = 256
 STRIP = 16  # rows or columns that a task holds whole
+NEAR = 128  # pixels of the tiles that points are dealt to
 
 Arrays = dict[str, np.ndarray]
 
@@ -83,6 +86,49 @@ def strips(df: DataFrame, axis: str, kernel: Callable[[Arrays], Arrays], inputs:
     return df.select("r", "c", *inputs, F.floor(F.col(axis) / STRIP).alias("_s")).groupBy("_s").applyInArrow(run, schema)
 
 
+def near_points(df: DataFrame, points: DataFrame, reach: int, kernel: Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray], pa.Table], inputs: list[str], schema: StructType) -> DataFrame:
+    """What ``kernel`` gives for the points of a tile, whose pixels are ``_r`` and ``_c``. It gets the pixels (r, c, ``inputs``)
+    within ``reach`` of the tile, the points, and the places of the pixels and the points in an array of ``NEAR + 2 * reach``
+    rows and columns that begins ``reach`` before the tile. Both sides are shuffled once, whatever their sizes: a pixel goes to
+    one tile, near a border to two or four, and no row is made for a pair of a point and a pixel."""
+    tile = lambda a, off=0: F.floor((F.col(a) + off) / NEAR)
+    spread = lambda a: F.explode(F.sequence(tile(a, -reach), tile(a, reach)))
+    px = df.where("r is not null and c is not null").select("r", "c", *inputs).withColumn("_tr", spread("r")).withColumn("_tc", spread("c"))
+    at = points.where("_r is not null and _c is not null").withColumns({"_tr": tile("_r"), "_tc": tile("_c")})
+
+    def run(pixels: pa.Table, of: pa.Table) -> pa.Table:
+        if not pixels.num_rows or not of.num_rows:
+            return empty
+        start = [of[k][0].as_py() * NEAR - reach for k in ("_tr", "_tc")]
+        place = lambda t, names: np.stack([t[k].to_numpy().astype(np.int64) - s for k, s in zip(names, start, strict=True)])
+        return kernel(pixels, of, place(pixels, ("r", "c")), place(of, ("_r", "_c")))
+
+    empty = to_arrow_schema(schema).empty_table()
+    return px.groupBy("_tr", "_tc").cogroup(at.groupBy("_tr", "_tc")).applyInArrow(run, schema)
+
+
+def window_values(values: np.ndarray, at: np.ndarray, points: np.ndarray, half: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """The values in the window of ``half`` pixels around each point, in order, some points (a slice) at once: all values, and where
+    each point's begin (with the end). ``at`` and ``points`` are places as ``near_points`` gives them; several values of one pixel
+    all count, NaN is the greatest."""
+    width = NEAR + 2 * half
+    cell = at[0] * width + at[1]
+    values = values[np.argsort(cell, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=width * width))])
+    first = (points[0][:, None] + np.arange(-half, half + 1)) * width + points[1][:, None] - half
+    low, size = begin[first], begin[first + 2 * half + 1] - begin[first]  # of each row of each window
+    total = size.sum(axis=1)
+    cut = np.concatenate([[0], np.cumsum(total)])
+    i = 0
+    while i < len(total):
+        j = max(i + 1, int(np.searchsorted(cut, cut[i] + (1 << 21), side="right")) - 1)
+        n, k = size[i:j].ravel(), low[i:j].ravel()
+        index = np.repeat(k - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        got = values[index]
+        yield slice(i, j), got[np.lexsort((got, np.repeat(np.arange(j - i), total[i:j])))], cut[i : j + 1] - cut[i]
+        i = j
+
+
 def _shifted(a: np.ndarray, half: int, axis: int, fill: float):
     """The array moved by -half .. half along an axis."""
     pad = [(0, 0), (0, 0)]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from fluvius.operators import grid, rings, water
-from fluvius.plans import resampled
+from fluvius.plans import rasters, resampled
 from fluvius.sources import geotiff
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +83,27 @@ def test_fill_nodata_at_any_distance(spark):
     with pytest.raises(Exception, match="entirely nodata"):
         grid.fill_nodata(spark.createDataFrame([(0, 0, None), (0, 1, None)], schema)).collect()
     assert not grid.fill_nodata(spark.createDataFrame([(0, 0, 1.0)], schema)).first().filled
+
+
+def test_levels_make_no_pairs(spark):
+    """A row for each point and pixel of its window, 625 times the points, was taken for small and broadcast."""
+    plan = rasters.median_window_sample(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "Join Inner, ((r" not in plan
+
+
+def test_window_level_against_numpy(spark):
+    """Windows over tiles' borders and the raster's, several values of a pixel, values and masks that are NULL, NaN the greatest."""
+    rng = np.random.default_rng(5)
+    rows = [(int(r), int(c), None if u < 0.2 else float("nan") if u > 0.99 else float(v), None if x < 0.1 else bool(x < 0.4)) for r, c, u, v, x in zip(rng.integers(0, 290, 9000), rng.integers(0, 140, 9000), rng.random(9000), rng.random(9000), rng.random(9000), strict=True)]
+    points = [(int(r), int(c)) for r, c in zip(rng.integers(-8, 300, 200), rng.integers(-8, 150, 200), strict=True)] + [(-50, -50), (127, 127), (128, 128), (127, 127)]
+    got = {(x.pr, x.pc): x.lvl for x in grid.window_level(spark.createDataFrame(rows, "r int, c int, z double, m boolean"), spark.createDataFrame(points, "pr int, pc int"), 4).collect()}
+    want = {}
+    for r, c in points:
+        near = [x for x in rows if abs(x[0] - r) <= 4 and abs(x[1] - c) <= 4]
+        v = np.sort([x[2] for x in near if x[2] is not None])
+        wet = np.sort([x[2] for x in near if x[2] is not None and x[3]])
+        if near:
+            want[r, c] = (wet[(len(wet) - 1) // 2] + wet[len(wet) // 2]) / 2 if len(wet) else v[0] if len(v) else None
+    assert got.keys() == want.keys() and (-50, -50) not in got
+    for k, v in want.items():
+        assert got[k] == v if v is None else got[k] == pytest.approx(v, nan_ok=True)
