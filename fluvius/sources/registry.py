@@ -5,8 +5,12 @@ from __future__ import annotations
 import glob
 import json
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,7 @@ from fluvius.sources import geotiff
 from fluvius.sources.remote import FetchError
 
 LOWEST, HIGHEST = -1000.0, 20000.0  # terrain beyond is none
+SIDES = ("minx", "miny", "maxx", "maxy")
 
 
 @dataclass
@@ -52,22 +57,76 @@ def local_sources(path: str) -> list[Source]:
     return out
 
 
+def _covered_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Boxes with the rectangles that meet them, cut off at the box: whether their union is the box."""
+    for b in batches:
+        rects = b.column("rects")
+        many, flat = rects.value_lengths().to_numpy(zero_copy_only=False), rects.flatten()
+        sides = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        box = [b.column(k).to_numpy(zero_copy_only=False) for k in SIDES]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        full = [fills(*(v[i] for v in box), *(v[ends[i] : ends[i + 1]] for v in sides)) for i in range(b.num_rows)]
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in SIDES), pa.array(full, pa.bool_())], [*SIDES, "_full"])
+
+
+def fills(minx: float, miny: float, maxx: float, maxy: float, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> bool:
+    """Whether rectangles (x0 .. y1) within a box fill it: strip by strip between their sides, with the number of rectangles over each
+    place between their other sides. A side without length counts as one place."""
+    if minx == maxx:
+        minx, maxx, x0, x1 = 0.0, 1.0, np.zeros(len(x0)), np.ones(len(x0))
+    if miny == maxy:
+        miny, maxy, y0, y1 = 0.0, 1.0, np.zeros(len(x0)), np.ones(len(x0))
+    if ((x0 <= minx) & (y0 <= miny) & (x1 >= maxx) & (y1 >= maxy)).any():
+        return True
+    xs, ys = np.unique(np.concatenate([x0, x1, [minx, maxx]])), np.unique(np.concatenate([y0, y1, [miny, maxy]]))
+    low, high = np.searchsorted(ys, y0), np.searchsorted(ys, y1)
+    begin, end = np.argsort(x0, kind="stable"), np.argsort(x1, kind="stable")
+    at_begin, at_end = np.searchsorted(x0[begin], xs, side="right"), np.searchsorted(x1[end], xs, side="right")
+    step, i, j = np.zeros(len(ys), np.int64), 0, 0
+    for p, q in zip(at_begin[:-1].tolist(), at_end[:-1].tolist(), strict=True):
+        np.add.at(step, low[begin[i:p]], 1)
+        np.add.at(step, high[begin[i:p]], -1)
+        np.add.at(step, low[end[j:q]], -1)
+        np.add.at(step, high[end[j:q]], 1)
+        i, j = p, q
+        if np.cumsum(step)[:-1].min() < 1:
+            return False
+    return True
+
+
+def _levelled(df: DataFrame, at: list[str], levels: Column, own: str) -> DataFrame:
+    """A row for each cell that a rectangle (columns ``at``) touches on each level from its own up: squares of 2^level, which are no
+    smaller than the rectangle, so at most four a level."""
+    df = df.withColumn("_level", F.explode(F.filter(levels, lambda v: v >= F.col(own)))).withColumn("_cell", F.pow(F.lit(2.0), "_level"))
+    spread = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.col("_cell")), F.floor(F.col(high) / F.col("_cell"))))
+    return df.withColumn("_cx", spread(at[0], at[2])).withColumn("_cy", spread(at[1], at[3]))
+
+
 def covered(bounds: DataFrame, boxes: DataFrame) -> DataFrame:
-    """id, covered: whether the union of rectangles (minx, miny, maxx, maxy) contains each box. The box is cut at all the rectangles'
-    sides into cells; it is covered if each cell's middle is in some rectangle."""
-    cols = ["minx", "miny", "maxx", "maxy"]
-    b = bounds.select(*[F.col(c).alias(f"b_{c}") for c in cols])
+    """id, covered: whether the union of rectangles (minx, miny, maxx, maxy) contains each box. Equal rectangles and equal boxes are
+    taken once. They meet in square cells on the level of the larger of the two, so each is in few cells whatever the sizes, and a
+    pair counts in the cell of its common part's corner only. A box without finite sides is not covered."""
+    b = bounds.select(*[F.col(c).cast("double").alias(f"b_{c}") for c in SIDES]).where("b_minx < b_maxx and b_miny < b_maxy").distinct()
+    keyed = boxes.select("id", *[(F.col(c).cast("double") + 0.0).alias(c) for c in SIDES])
+    finite = reduce(lambda p, q: p & q, [F.abs(F.col(c)) < F.lit(float("inf")) for c in SIDES])
+    one = keyed.where(finite & (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy"))).select(*SIDES).distinct()
+    # rectangles end at the boxes' extent: what is beyond covers nothing
+    over = F.broadcast(one.agg(*[F.min(c).alias(f"_{c}") for c in SIDES[:2]], *[F.max(c).alias(f"_{c}") for c in SIDES[2:]]))
+    b = b.crossJoin(over).where("b_minx < _maxx and b_maxx > _minx and b_miny < _maxy and b_maxy > _miny")
+    b = b.select(*[F.greatest(f"b_{c}", f"_{c}").alias(f"b_{c}") for c in SIDES[:2]], *[F.least(f"b_{c}", f"_{c}").alias(f"b_{c}") for c in SIDES[2:]]).distinct()
+    # the least side keeps a cell's number below 2^40
+    level = lambda p: F.ceil(F.log2(F.greatest(F.col(f"{p}maxx") - F.col(f"{p}minx"), F.col(f"{p}maxy") - F.col(f"{p}miny"), *[F.abs(F.col(p + c)) * 2.0**-40 for c in SIDES], F.lit(1e-300)))).cast("int")
+    one, b = one.withColumn("_own", level("")), b.withColumn("_b_own", level("b_"))
+    levels = F.broadcast(one.select("_own").unionAll(b.select(F.col("_b_own"))).agg(F.collect_set("_own").alias("_levels")))
+    left = _levelled(one.crossJoin(levels), list(SIDES), F.col("_levels"), "_own").drop("_levels")
+    right = _levelled(b.crossJoin(levels), [f"b_{c}" for c in SIDES], F.col("_levels"), "_b_own").drop("_levels", "_cell")
     meet = (F.col("b_minx") < F.col("maxx")) & (F.col("b_maxx") > F.col("minx")) & (F.col("b_miny") < F.col("maxy")) & (F.col("b_maxy") > F.col("miny"))
-    near = boxes.join(b, meet)  # a few boxes, against the files of a source
-
-    # sides outside of the box are cut off at it before they are gathered
-    held = near.select("id", *cols, *[F.greatest(F.least(F.col(f"b_{c}"), F.col(f"max{c[-1]}")), F.col(f"min{c[-1]}")).alias(f"b_{c}") for c in cols])
-    of = lambda low, high: F.array_sort(F.array_distinct(F.concat(F.array(F.first(low), F.first(high)), F.flatten(F.collect_list(F.array(f"b_{low}", f"b_{high}"))))))
-    g = held.groupBy("id").agg(of("minx", "maxx").alias("xs"), of("miny", "maxy").alias("ys"), F.collect_list(F.struct(*[F.col(f"b_{c}").alias(c) for c in cols])).alias("rects"))
-    mids = lambda v: F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: (a + b) / 2)
-    inside = lambda x, y: F.exists("rects", lambda q: (q["minx"] < x) & (x < q["maxx"]) & (q["miny"] < y) & (y < q["maxy"]))
-    full = F.forall(mids(F.col("xs")), lambda x: F.forall(mids(F.col("ys")), lambda y: inside(x, y)))
-    return boxes.select("id").join(g.select("id", full.alias("_full")), "id", "left").select("id", F.coalesce("_full", F.lit(False)).alias("covered"))
+    corner = reduce(lambda p, q: p & q, [F.col(f"_c{a}") == F.floor(F.greatest(f"min{a}", f"b_min{a}") / F.col("_cell")) for a in "xy"])
+    key, mine, other = ["_level", "_cx", "_cy"], F.col("_level") == F.col("_own"), F.col("_level") == F.col("_b_own")
+    near = left.where(mine).join(right.hint("merge"), key).unionByName(left.where(~mine).join(right.where(other).hint("merge"), key)).where(corner & meet)
+    held = near.select(*SIDES, F.struct(*[F.greatest(c, f"b_{c}").alias(c) for c in SIDES[:2]], *[F.least(c, f"b_{c}").alias(c) for c in SIDES[2:]]).alias("rect"))
+    found = held.groupBy(*SIDES).agg(F.collect_set("rect").alias("rects")).mapInArrow(_covered_batches, ", ".join(f"{c} double" for c in SIDES) + ", _full boolean")
+    return keyed.join(found, list(SIDES), "left").select("id", F.coalesce("_full", F.lit(False)).alias("covered"))
 
 
 def resolve_elevation(sources: list[tuple[Source, bool]], prefer: str | None = None) -> Source:

@@ -1,6 +1,7 @@
 """Remote and local sources against a server of this machine and files of known content."""
 
 import json
+import re
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluvius.operators import geo, layers
+from fluvius.plans import maps
 from fluvius.sources import geotiff, registry, remote
 
 SEEN = []
@@ -178,3 +180,32 @@ def test_sites(spark, tmp_path):
         geo.sites(spark.createDataFrame([(0.0, 89.0)], "lon double, lat double")).collect()
     with pytest.raises(Exception, match="west, south"):
         spark.range(1).select(geo.centre(F.lit(2.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))[0]).collect()
+
+
+def test_covered_at_many_sizes(spark):
+    """Boxes and rectangles of all sizes, equal ones and odd ones among them, against pixels."""
+    rng = np.random.default_rng(7)
+
+    def some(n, most):
+        side = 2 ** rng.integers(0, most, (n, 2))
+        low = rng.integers(-40, 40, (n, 2))
+        return np.c_[low, low + side]
+
+    rects, boxes = np.r_[some(250, 5), [[-3000, -20, 3000, 20]]], np.r_[some(200, 4), some(20, 7)]
+    have = np.zeros((400, 400), bool)
+    for a, b, c, d in np.clip(rects, -200, 199) + 200:
+        have[a:c, b:d] = True
+    want = {i: bool(have[a:c, b:d].all()) for i, (a, b, c, d) in enumerate((boxes + 200).tolist())}
+    assert 20 < sum(want.values()) < 200
+    rows = [(i, *map(float, x)) for i, x in enumerate(boxes.tolist())]
+    odd = [(901, 0.5, 0.5, 0.5, 0.5), (902, None, 0.0, 1.0, 1.0), (903, 0.0, 0.0, float("inf"), 1.0), (904, 0.0, 0.0, float("nan"), 1.0), (905, 1.0, 1.0, 0.0, 0.0), (906, 0.5, -300.0, 0.5, 0.0)]
+    names = "minx double, miny double, maxx double, maxy double"
+    b = spark.createDataFrame([tuple(map(float, x)) for x in rects.tolist() * 3] + [(None, 0.0, 1.0, 1.0), (0.0, float("nan"), 1.0, 1.0)], names)
+    got = {r.id: r.covered for r in registry.covered(b, spark.createDataFrame(rows + rows + odd, f"id int, {names}")).collect()}
+    assert got == want | {901: True, 902: False, 903: False, 904: False, 905: False, 906: False}
+
+
+def test_covered_has_no_nested_loop(spark):
+    """Every box was held against every rectangle."""
+    plan = maps.covered_boxes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"NestedLoopJoin.*b_minx#\d+ < maxx#", plan), plan
