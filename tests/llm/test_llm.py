@@ -292,6 +292,21 @@ def test_passages_whose_phrases_occur_singly_before(spark):
     assert [tuple(r) for r in got] == [(101, 70, 130, 100, 30, 90, 60, 60)]
 
 
+@pytest.mark.parametrize("others", [0, 40])
+def test_fuzzy_passages_whose_phrases_occur_singly_before(spark, others):
+    """Without 30 equal words in a row and each phrase first in another document, frequent phrases or not: nothing was found before."""
+    rng = random.Random(10)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    shared = fresh(100)
+    rows = [(i, [*fresh(40), *shared[i : i + 5], *fresh(40)]) for i in range(96)]
+    for k in range(others):
+        rows += [(1000 + k * 20 + i // 5, [*fresh(40), *shared[i : i + 5], *fresh(40)]) for i in range(0, 100, 5)]
+    other = [w if i % 25 != 24 else "x" for i, w in enumerate(shared)]
+    rows += [(9000, fresh(30) + shared + fresh(30)), (9001, fresh(70) + other + fresh(5))]
+    got = passages.pairs(spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(9001, 70, 169, 9000, 30, 129, 96, 99)]
+
+
 def common_docs(rng, n):
     """Texts full of common phrases of five words; groups of them hold a passage, some words of it changed in each."""
     vocab = [f"w{i}" for i in range(1500)]
