@@ -381,6 +381,63 @@ def test_passages_deal_hot_keys(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_passages_shuffle_their_seeds_once(spark):
+    """Seeds were shuffled for their first occurrences, for the matches with these and for those among occurrences."""
+    rng = random.Random(24)
+    rows = [(i, " ".join(f"v{rng.randrange(10**9)}" for _ in range(1500))) for i in range(80)]
+    rows += [(100 + i, " ".join(t.split()[i : i + 60])) for i, t in rows[:20]]
+    seeds = sum(b.num_rows for b in passages._seed_batches(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "text"])])))
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = max(stages(), default=-1)
+    assert passages.pairs(spark.createDataFrame(rows, "doc_id long, text string")).count() == 20
+    assert seeds <= sum(n for k, n in stages().items() if k > before) < 1.5 * seeds
+
+
+def test_matches_of_seeds_equal_loops(monkeypatch):
+    """Few and many occurrences, several in a document, with the same next seed or not; seeds come in batches that cut them."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for seed, n in enumerate([1, 2, 2, 3, 5, 12, 32, 33, 60, 90, 200, 1, 7, 40] * 2):
+        for _ in range(n):
+            rows.append((seed, int(rng.integers(0, max(2, n // 2))), int(rng.integers(0, 500)), int(rng.integers(1, 12)), int(rng.choice([seed, 100, 100, 101, 102]))))
+    few, want = passages.FEW, set()
+    for seed in {r[0] for r in rows}:
+        own = sorted({r for r in rows if r[0] == seed}, key=lambda r: (r[1], r[2], r[3]))
+        want |= {(r[1], own[0][1], r[2], own[0][2], seed % 2 * 2) for r in own if r[1] > own[0][1]}
+        if seed % 2 or len(own) < 3:
+            continue
+        if len(own) <= few:
+            want |= {(r[1], q[1], r[2], q[2], 1) for r in own for q in own[1:] if r[1] > q[1]}
+            continue
+        for then in {r[4] for r in own} - {seed}:
+            same = [r for r in own if r[4] == then]
+            firsts = [r for i, r in enumerate(same) if not i or same[i - 1][1] != r[1]]
+            for r, q in [(r, q) for r in same for q in same] if len(same) <= few else [(r, same[0]) for r in firsts]:
+                if r[1] > q[1]:
+                    want |= {(r[1], q[1], r[2], q[2], 1), (r[1], q[1], r[2] + r[3], q[2] + q[3], 1)}
+    rows = sorted(set(rows), key=lambda r: (r[0], rng.random()))
+    columns = [np.array(c, np.int64) for c in zip(*[(r[0], r[1], r[2] << passages._NEAR | r[3], r[4]) for r in rows], strict=True)]
+    monkeypatch.setattr(passages, "ROWS", 50)
+    got = set()
+    table = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seed", "doc_id", "place", "then"])
+    for b in passages._match_batches(iter([table.slice(i, 17) for i in range(0, len(rows), 17)])):
+        got |= {(d, f, p >> 32, p >> 2 & (1 << 30) - 1, p & 3) for d, f, p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert got == want and len(want) > 500
+
+
+def test_least_of_windows():
+    rng = np.random.default_rng(12)
+    for width in (1, 2, 5, 12, 21):
+        h = rng.integers(0, 9, 400).astype(np.uint64)
+        assert (passages.least(h, width) == np.arange(401 - width) + np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1)).all()
+
+
 def test_gaps_are_aligned_with_one_break():
     rng = np.random.default_rng(9)
     for _ in range(200):
